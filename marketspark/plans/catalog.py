@@ -1,6 +1,11 @@
 """All registered queries."""
 
-from marketspark.plans import queries_windows  # noqa: F401
+from marketspark.plans import (  # noqa: F401
+    queries_columns,
+    queries_joins,
+    queries_sources,
+    queries_windows,
+)
 from marketspark.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
