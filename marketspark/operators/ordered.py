@@ -23,26 +23,33 @@ def slice_count(df: DataFrame, slices: int | None = None) -> int:
 
 
 def order_slices(
-    df: DataFrame, column: str, slices: int | None = None, name: str = "order_slice"
+    df: DataFrame,
+    column: str,
+    slices: int | None = None,
+    name: str = "order_slice",
+    sample: Column | None = None,
 ) -> DataFrame:
     """Number rows by which quantile slice of ``column`` they fall in, preserving its order.
 
-    A binary search over the quantiles, one projection per step, stays inside generated code.
+    A binary search over the quantiles, one projection per step, stays inside generated code. The
+    quantiles are those of ``sample`` if given: any expression of ``df`` in the same unit.
     """
     count = slice_count(df, slices)
     if count == 1:
         return df.withColumn(name, F.lit(0))
     steps = [F.lit(i / count) for i in range(1, count)]
     bounds = df.select(
-        F.percentile_approx(column, F.array(*steps), 10 * count).alias("bounds")
-    ).scalar()
-    df = df.withColumn(name, F.lit(0))
+        F.percentile_approx(
+            F.col(column) if sample is None else sample, F.array(*steps), 10 * count
+        ).alias("slice_bounds")
+    )
+    df = df.crossJoin(F.broadcast(bounds)).withColumn(name, F.lit(0))  # one row of `count` numbers
     step = count // 2
     while step:
-        bound = F.get(bounds, F.col(name) + (step - 1))
+        bound = F.get("slice_bounds", F.col(name) + (step - 1))
         df = df.withColumn(name, F.col(name) + F.when(bound < F.col(column), step).otherwise(0))
         step //= 2
-    return df
+    return df.drop("slice_bounds")
 
 
 def running_sums(

@@ -36,7 +36,8 @@ def exact_quantiles(
     """
     groups = list(groups)
     counted = df.groupBy(*groups, value).agg(F.count(value).alias("n"))
-    sliced = order_slices(counted, value, slices)
+    # The sample reads `n` too, so all three uses of `counted` share one shuffle of the input.
+    sliced = order_slices(counted, value, slices, sample=F.when(F.col("n") > 0, F.col(value)))
     per_slice = sliced.groupBy(*groups, "order_slice").agg(F.sum("n").alias("n"))
     by_slice = Window.partitionBy(*groups).orderBy("order_slice")
     whole = by_slice.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -1,4 +1,4 @@
-"""How many months of stock are on the market, per listing and per year."""
+"""How many months of stock are on the market at each listing."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ from marketspark.operators.events import (
     inventory_time,
     trailing_365_days,
 )
-from marketspark.operators.quantiles import exact_quantiles
 
 
 def listings_with_inventory(
@@ -20,18 +19,3 @@ def listings_with_inventory(
     return trailing_365_days(listings, at_listing, "listing_date").withColumn(
         "inventory_time", inventory_time(F.col("inventory"), F.col("yearly_sales"))
     )
-
-
-def inventory_time_by_year(listings: DataFrame) -> DataFrame:
-    """Median months of inventory per listing year; the first year has no trailing year yet."""
-    per_year = exact_quantiles(
-        listings_with_inventory(listings, carry=("listing_year",)),
-        ["listing_year"],
-        "inventory_time",
-        {"inventory_time": 0.5},
-    )
-    first_year = listings.agg(F.min("listing_year").alias("first")).scalar()
-    return per_year.withColumn(
-        "inventory_time",
-        F.when(F.col("listing_year") == first_year, F.lit(0.0)).otherwise(F.col("inventory_time")),
-    )
