@@ -111,16 +111,16 @@ def running_count(df: DataFrame, name: str, **order) -> DataFrame:
 
 
 def null_poisoned_sum(
-    df: DataFrame, name: str, value: str, **order
+    df: DataFrame, name: str, value: str, also: dict[str, Column] | None = None, **order
 ) -> DataFrame:
-    """Running sum that stays null from the first null value on."""
+    """Running sum that stays null from the first null value on; ``also`` are ordinary sums."""
     nulls = F.when(F.col(value).isNull(), 1).otherwise(0).cast("long")
-    summed = running_sums(
-        df, {name: F.coalesce(F.col(value), F.lit(0)), "nulls_so_far": nulls}, **order
+    sums = {name: F.coalesce(F.col(value), F.lit(0)), "nulls_so_far": nulls, **(also or {})}
+    return (
+        running_sums(df, sums, **order)
+        .withColumn(name, F.when(F.col("nulls_so_far") == 0, F.col(name)))
+        .drop("nulls_so_far")
     )
-    return summed.withColumn(
-        name, F.when(F.col("nulls_so_far") == 0, F.col(name))
-    ).drop("nulls_so_far")
 
 
 def trailing_rows(

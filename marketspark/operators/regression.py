@@ -205,14 +205,10 @@ def recent_history(df: DataFrame, category: str, days: int, as_of: date) -> Data
         "listing_id", "category", "listing_date", "sale_date", "amount"
     )
     return null_poisoned_sum(
-        running_sums(
-            rows,
-            {"cumulative_listing": F.lit(1).cast("long")},
-            days=["listing_date"],
-            tie="listing_id",
-        ),
+        rows,
         "cumulative_value",
         "amount",
+        also={"cumulative_listing": F.lit(1).cast("long")},
         days=["listing_date"],
         tie="listing_id",
     )

@@ -29,11 +29,9 @@ def loess(
         .agg(F.count("*").alias("n"), F.sum(value).alias("sy"), F.sum(value * value).alias("sy2"))
     )
     range_ = points.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    anchors = range_.select(
-        (
-            F.col("lo")
-            + (F.col("hi") - F.col("lo")) * F.explode(F.sequence(F.lit(0), F.lit(grid - 1))) / (grid - 1)
-        ).alias("x0")
+    steps = range_.select("lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("step"))
+    anchors = steps.select(
+        (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("step") / (grid - 1)).alias("x0")
     )
     curve = _local_fit(points, anchors, span)
     if not band:
@@ -58,25 +56,66 @@ def loess(
     )
 
 
-def _local_fit(points: DataFrame, anchors: DataFrame, span: float) -> DataFrame:
-    """Fit at each ``x0``: value, squared norm of its smoother row, weight of a row at ``x0``."""
-    total = points.agg(F.sum("n").alias("total"))
-    distance = F.abs(F.col("x") - F.col("x0"))
-    # Days times anchors, partitioned by anchor; both tables are bounded by the calendar.
-    pairs = (
-        anchors.crossJoin(F.broadcast(points.crossJoin(F.broadcast(total))))
-        .withColumn("distance", distance)
+# Steps of a search over distances in days, longest first; together they span 11 000 years.
+_SEARCH_STEPS = tuple(1 << k for k in range(21, -1, -1))
+
+
+def _with_bandwidth(points: DataFrame, anchors: DataFrame, span: float) -> DataFrame:
+    """Add to each ``x0`` the distance to its ``floor(span * n)``-th nearest row.
+
+    Running counts over the gap-free calendar, one array for all anchors, answer how many rows lie
+    within a distance; a search over whole days and a look at the two days at its end find the
+    exact distance without pairing anchors and days.
+    """
+    days = points.agg(F.min("x").cast("int").alias("lo"), F.max("x").cast("int").alias("hi")).select(
+        F.explode(F.sequence("lo", "hi")).alias("day")
     )
-    nearest = Window.partitionBy("x0").orderBy("distance")
-    reached = F.sum("n").over(nearest) >= F.floor(F.col("total") * span + 1e-5)
-    near = pairs.withColumn("reach", F.when(reached, F.col("distance"))).withColumn(
-        "bandwidth", F.min("reach").over(Window.partitionBy("x0"))
+    # One row per calendar day.
+    upto = F.sum(F.coalesce("n", F.lit(0))).over(
+        Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     )
+    counted = days.join(points.select(F.col("x").cast("int").alias("day"), "n"), "day", "left").select(
+        F.struct("day", upto.alias("upto")).alias("at")
+    )
+    calendar = counted.agg(F.array_sort(F.collect_list("at")).alias("at")).select(
+        F.col("at.upto").alias("upto"), F.col("at")[0]["day"].alias("lo"), F.size("at").alias("length")
+    )
+
+    def within(distance: Column) -> Column:
+        last = F.least(F.floor(F.col("x0") + distance) - F.col("lo"), F.col("length") - 1)
+        before = F.ceil(F.col("x0") - distance) - F.col("lo") - 1
+        return F.get("upto", last.cast("int")) - F.coalesce(
+            F.when(before >= 0, F.get("upto", before.cast("int"))), F.lit(0)
+        )
+
+    wanted = F.floor(F.get("upto", F.col("length") - 1) * span + 1e-5)
+    whole_days = F.aggregate(
+        F.array(*[F.lit(s) for s in _SEARCH_STEPS]),
+        F.lit(0),
+        lambda found, step: found + F.when(within(found + step - 1) < wanted, step).otherwise(0),
+    )
+    left = F.col("x0") - F.ceil(F.col("x0") - F.col("whole"))
+    right = F.floor(F.col("x0") + F.col("whole")) - F.col("x0")
+    nearer, farther = F.least(left, right), F.greatest(left, right)
+    return (
+        anchors.crossJoin(F.broadcast(calendar))  # one row
+        .withColumn("whole", whole_days)
+        .select("x0", F.when(within(nearer) >= wanted, nearer).otherwise(farther).alias("bandwidth"))
+    )
+
+
+def _local_fit(points: DataFrame, anchors: DataFrame, span: float) -> DataFrame:
+    """Fit at each ``x0``: value, squared norm of its smoother row, weight of a row at ``x0``.
+
+    Anchors times days are both bounded by the calendar; the sums combine before any shuffle.
+    """
+    reach = _with_bandwidth(points, anchors, span).repartition("x0")
     u = (F.col("x") - F.col("x0")) / F.col("bandwidth")
-    tricube = F.pow(1 - F.pow(F.abs(F.col("u")), F.lit(3.0)), F.lit(3.0))
+    tricube = F.col("c") * F.col("c") * F.col("c")
     weighted = (
-        near.withColumn("u", u)
-        .filter(F.abs("u") < 1)
+        reach.join(F.broadcast(points), F.abs(F.col("x") - F.col("x0")) < F.col("bandwidth"))
+        .withColumn("u", u)
+        .withColumn("c", 1 - F.abs("u") * F.col("u") * F.col("u"))
         .withColumn("w", tricube)
         .groupBy("x0")
         .agg(

@@ -3,6 +3,7 @@
 from marketspark.plans import (  # noqa: F401
     queries_columns,
     queries_joins,
+    queries_models,
     queries_records,
     queries_reports,
     queries_sources,
