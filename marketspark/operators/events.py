@@ -56,9 +56,17 @@ def date_counts(df: DataFrame, column: str, name: str) -> DataFrame:
     )
 
 
-def trailing_365_days(df: DataFrame, dates: DataFrame, column: str, name: str = "yearly_sales") -> DataFrame:
+def trailing_365_days(
+    df: DataFrame,
+    dates: DataFrame,
+    column: str,
+    name: str = "yearly_sales",
+    wanted: DataFrame | None = None,
+) -> DataFrame:
     """Add to ``dates[column]`` how many sales of ``df`` fell 0 to 364 days before it.
 
+    ``wanted`` holds the same dates in a table that is cheaper to read than ``dates``.
+
     Each sale day counts for the 365 days from it on: +n on that day, -n 365 days later. The running
     total of these steps is known on every step day; a date between steps takes the latest one.
     """
@@ -71,7 +79,7 @@ def trailing_365_days(df: DataFrame, dates: DataFrame, column: str, name: str =
             )
         )
     )
-    return _join_step_total(dates, steps, column, name)
+    return _join_step_total(dates, steps, column, name, wanted)
 
 
 def trailing_12_months(df: DataFrame, dates: DataFrame, column: str, name: str = "homes_sold") -> DataFrame:
@@ -91,14 +99,16 @@ def trailing_12_months(df: DataFrame, dates: DataFrame, column: str, name: str =
     return dates.join(F.broadcast(counts), column)
 
 
-def _join_step_total(dates: DataFrame, steps: DataFrame, column: str, name: str) -> DataFrame:
+def _join_step_total(
+    dates: DataFrame, steps: DataFrame, column: str, name: str, wanted: DataFrame | None = None
+) -> DataFrame:
     """Running total of ``steps`` on each date, looked up by equi-join on the date.
 
     Steps and wanted dates are tables of calendar days, so the window and the broadcast are bounded
     by the calendar and the large side is not shuffled.
     """
-    wanted = dates.select(F.col(column).alias("day")).distinct().withColumn("n", F.lit(0).cast("long"))
-    by_day = steps.unionByName(wanted).groupBy("day").agg(F.sum("n").alias("n"))
+    asked = (dates if wanted is None else wanted).select(F.col(column).alias("day")).distinct()
+    by_day = steps.unionByName(asked.withColumn("n", F.lit(0).cast("long"))).groupBy("day").agg(F.sum("n").alias("n"))
     total = by_day.select(
         F.col("day").alias(column),
         F.sum("n")

@@ -102,7 +102,9 @@ def running_sums(
         for name in sums
     ]
     kept = [c for c in df.columns if c not in sums]
-    return sliced.join(base, cell).select(*kept, *running)
+    # Without the explicit repartition a window may keep a coarser partitioning of its input, such
+    # as by group alone, and so bring a large group back into one task.
+    return sliced.repartition(*cell).join(base, cell).select(*kept, *running)
 
 
 def running_count(df: DataFrame, name: str, **order) -> DataFrame:
@@ -177,7 +179,8 @@ def previous_value(
         df.groupBy(key).agg(F.count("*").alias("key_rows")).filter(F.col("key_rows") > hot_rows)
         .select(key, F.lit(True).alias("is_hot"))
     )
-    sliced = order_slices(df, tie, slices).join(hot, key, "left")
+    # Bounded by rows / hot_rows.
+    sliced = order_slices(df, tie, slices).join(F.broadcast(hot), key, "left")
     pieces = sliced.withColumns(
         {
             "piece_day": F.when(F.col("is_hot"), F.col(day)).otherwise(F.to_date(F.lit("1970-01-01"))),
@@ -197,7 +200,8 @@ def previous_value(
     window = Window.partitionBy(*piece).orderBy(day, tie)
     first = F.row_number().over(window) == 1
     return (
-        pieces.join(carried, piece, "left")
+        pieces.repartition(*piece)  # not by key alone: see running_sums
+        .join(carried, piece, "left")
         .withColumn(name, F.when(first, F.col("carried")).otherwise(F.lag(value).over(window)))
         .drop("carried", "is_hot", "piece_day", "piece_slice")
     )

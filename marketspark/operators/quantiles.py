@@ -27,12 +27,14 @@ def exact_quantiles(
     value: str,
     probs: dict[str, float],
     slices: int | None = None,
+    calendar_groups: bool = False,
 ) -> DataFrame:
     """Quantiles with linear interpolation per group, one column per entry of ``probs``.
 
     ``percentile`` keeps a map of every distinct value of a group in one task. Here equal values
     collapse first, value slices are counted, and only the slices that hold a wanted rank are
-    sorted. Nulls carry no weight; a group without any value gives null.
+    sorted. Nulls carry no weight; a group without any value gives null. ``calendar_groups``: the
+    groups are years or months, so the slices to look into can be broadcast.
     """
     groups = list(groups)
     counted = df.groupBy(*groups, value).agg(F.count(value).alias("n"))
@@ -63,6 +65,8 @@ def exact_quantiles(
         ],
     )
     wanted = placed.filter(wanted_here)
+    if calendar_groups:
+        wanted = F.broadcast(wanted)  # at most two slices per quantile and group
     inside = same_keys(sliced, wanted, groups + ["order_slice"], "inner")
     by_value = (
         Window.partitionBy(*groups, "order_slice")

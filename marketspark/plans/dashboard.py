@@ -40,7 +40,11 @@ def inventory_rows(listings: DataFrame) -> DataFrame:
 def median_inventory_time(with_inventory: DataFrame) -> DataFrame:
     """The first year is 0: it has no trailing year yet."""
     per_year = exact_quantiles(
-        with_inventory, ["listing_year"], "inventory_time", {"inventory_time": 0.5}
+        with_inventory,
+        ["listing_year"],
+        "inventory_time",
+        {"inventory_time": 0.5},
+        calendar_groups=True,
     )
     first_year = with_inventory.agg(F.min("listing_year").alias("first")).scalar()
     return per_year.withColumn(

@@ -16,6 +16,8 @@ def listings_with_inventory(
 ) -> DataFrame:
     """Listings with inventory, trailing-year sales and months of inventory."""
     at_listing = inventory_at_listing(listings, tie_rule, carry)
-    return trailing_365_days(listings, at_listing, "listing_date").withColumn(
+    return trailing_365_days(
+        listings, at_listing, "listing_date", wanted=listings.select("listing_date")
+    ).withColumn(
         "inventory_time", inventory_time(F.col("inventory"), F.col("yearly_sales"))
     )

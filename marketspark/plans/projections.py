@@ -61,7 +61,7 @@ def actual_and_predicted(
     running: DataFrame, measure: str, scores: DataFrame, as_of: date
 ) -> DataFrame:
     """Each year's final running total next to its scored line at the last day."""
-    peak = group_peaks(running, ["sale_year"], measure).select(
+    peak = group_peaks(running, ["sale_year"], measure, calendar_groups=True).select(
         "sale_year", F.col(measure).cast("double").alias("actual")
     ).distinct()
     return peak.join(

@@ -100,7 +100,7 @@ def topk_price_low(m):
 )
 def topk_per_group(m):
     sold = m.sold.select("listing_id", "sale_year", F.dayofyear("sale_date").alias("day_of_sale"))
-    return group_peaks(sold, ["sale_year"], "day_of_sale").select("listing_id", "sale_year", "day_of_sale")
+    return group_peaks(sold, ["sale_year"], "day_of_sale", calendar_groups=True).select("listing_id", "sale_year", "day_of_sale")
 
 
 @query(

@@ -278,7 +278,9 @@ def agg_monthly_price(m):
     rows = m.sold.filter(F.col("category") == "BUILDING").select(
         F.trunc("sale_date", "MM").alias("month"), "amount"
     )
-    return exact_quantiles(rows, ["month"], "amount", {"amount_median": 0.5}).select(
+    return exact_quantiles(
+        rows, ["month"], "amount", {"amount_median": 0.5}, calendar_groups=True
+    ).select(
         "month", rounded("amount_median").alias("amount")
     )
 
@@ -318,7 +320,9 @@ vby as (
     VALUE_SQL,
 )
 def agg_year_peak(m):
-    return group_peaks(reports.value_by_year(m.listings), ["sale_year"], "market_value").select(
+    return group_peaks(
+        reports.value_by_year(m.listings), ["sale_year"], "market_value", calendar_groups=True
+    ).select(
         "listing_id", "sale_year", "sale_date", F.col("market_value").cast("double").alias("market_value")
     )
 

@@ -80,7 +80,9 @@ def seasonal_inventory(listings: DataFrame, latest_year: Column) -> DataFrame:
         "inventory-events",
     )
     means = events.groupBy("month").agg(F.avg("inventory").alias("mean_inventory"))
-    medians = exact_quantiles(events, ["month"], "inventory", {"median_inventory": 0.5})
+    medians = exact_quantiles(
+        events, ["month"], "inventory", {"median_inventory": 0.5}, calendar_groups=True
+    )
     # Twelve rows.
     position = F.row_number().over(Window.orderBy("month"))
     pinned = F.date_add(
@@ -113,7 +115,7 @@ def last_sale_day(listings: DataFrame) -> DataFrame:
         ),
         ["sale_year", "day_of_year"],
     )
-    last = group_peaks(per_day, ["sale_year"], "day_of_year")
+    last = group_peaks(per_day, ["sale_year"], "day_of_year", calendar_groups=True)
     return last.agg(
         F.percentile("day_of_year", F.lit(0.5), F.col("n")).alias("last_sale_day")
     )
