@@ -51,10 +51,16 @@ def bucket_stock(stock: Column) -> Column:
 
 
 def bucket_turnover(turnover: Column, low: Column, high: Column) -> Column:
-    """low / ave / higher / high by two limits; a turnover of exactly 0 has no label."""
+    """low / ave / higher / high by two limits, bins right-closed.
+
+    The edges are taken in order, so a negative lower limit swaps places with 0. Otherwise a turnover
+    of exactly 0 lies on the outer edge and has no label.
+    """
+    zero = F.lit(0.0)
+    outer, inner = F.least(zero, low), F.greatest(zero, low)
     return (
-        F.when((turnover > 0) & (turnover <= low), F.lit("low"))
-        .when((turnover > low) & (turnover <= high), F.lit("ave"))
+        F.when((turnover > outer) & (turnover <= inner), F.lit("low"))
+        .when((turnover > inner) & (turnover <= high), F.lit("ave"))
         .when((turnover > high) & (turnover <= high * 2), F.lit("higher"))
         .when((turnover > high * 2) & (turnover <= 1000), F.lit("high"))
     )
