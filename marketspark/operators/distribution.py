@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from marketspark.operators.quantiles import exact_quantiles, same_keys
+from marketspark.sources.snapshot import materialize
 
 # Fixed values of the rule-of-thumb bandwidth.
 BANDWIDTH_FACTOR = 0.9
@@ -37,8 +38,8 @@ def box_stats(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
 
 
 def box_outliers(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
-    """The rows beyond the whiskers."""
-    stats = box_stats(df, groups, value).select(*groups, "q1", "q3")
+    """The rows beyond the whiskers; the limits are written first so that their size is known."""
+    stats = materialize(box_stats(df, groups, value).select(*groups, "q1", "q3"), "box-limits")
     reach = (F.col("q3") - F.col("q1")) * 1.5
     return (
         df.join(stats, list(groups))
@@ -82,6 +83,8 @@ def density(df: DataFrame, groups: Sequence[str], value: str, points: int = 512)
             "step": (F.col("hi") - F.col("lo") + 8 * F.col("bw")) / (points - 1),
         }
     )
+    # One row per group, read three times below.
+    frame = materialize(frame, "density-frame")
     at = (F.col(value) - F.col("start")) / F.col("step")
     bins = (
         same_keys(known.select(*groups, value), frame, groups, "inner")

@@ -13,7 +13,7 @@ from marketspark.sources.snapshot import materialize
 
 AS_OF = date(2001, 8, 1)
 
-_snapshots: dict[tuple[str, str], DataFrame] = {}
+_snapshots: dict[tuple[str, str, str], DataFrame] = {}
 
 
 class Market:
@@ -41,20 +41,31 @@ class Market:
             self.table("orders"), self.table("lineitem"), self.table("customer"), self.table("nation")
         )
 
-    @property
-    def listings(self) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, self.dir)
+    def _once(self, name: str, build, partition_by: str | None = None) -> DataFrame:
+        """The table ``name`` of this folder, written the first time a session asks for it."""
+        key = (self.spark.sparkContext.applicationId, self.dir, name)
         if key not in _snapshots:
-            enriched = enrich_listings(self.raw_listings, self.config.as_of)
-            _snapshots[key] = materialize(enriched, "listings", partition_by="listing_year")
+            _snapshots[key] = materialize(build(), name, partition_by)
         return _snapshots[key]
 
+    @property
+    def listings(self) -> DataFrame:
+        return self._once(
+            "listings",
+            lambda: enrich_listings(self.raw_listings, self.config.as_of),
+            partition_by="listing_year",
+        )
+
     @property
     def sold(self) -> DataFrame:
         return self.listings.filter(F.col("sale_date").isNotNull())
 
     def stock(self, *keys: str) -> DataFrame:
-        return stock_by(self.table("customer"), self.table("nation"), *keys)
+        """Entities per key, as a dimension table of known size."""
+        return self._once(
+            "stock-" + "-".join(keys),
+            lambda: stock_by(self.table("customer"), self.table("nation"), *keys),
+        )
 
     @property
     def total_stock(self) -> DataFrame:

@@ -15,7 +15,6 @@ from marketspark.operators.turnover import (
 )
 from marketspark.plans.market import AS_OF
 from marketspark.plans.registry import query, rounded, sql_rounded
-from marketspark.sources.adapter import stock_by
 
 OPEN_COLUMNS = ["listing_id", "listing_date", "time_on_market", "category", "under_contract"]
 OPEN_SQL = "select " + ", ".join(OPEN_COLUMNS) + " from e"
@@ -250,7 +249,8 @@ def street_stock(m):
         F.col("area"), F.col("abbreviation"), m.config.unsuffixed_areas
     )
     return (
-        stock_by(m.table("customer"), known, "area", "category")
+        m.stock("area", "category")
+        .join(known.select(F.col("n_name").alias("area")), "area", "left_semi")
         .join(category_dim(m), "category")
         .groupBy(labelled.alias("street"))
         .agg(F.sum("stock").alias("stock"))

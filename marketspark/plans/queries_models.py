@@ -113,22 +113,66 @@ LOG_LIK = "(-n / 2e0 * (ln(2 * pi() * rss / n) + 1))"
     "reg_glance",
     f"""select sale_year, {sql_rounded('1 - rss / syy')} as r_squared,
         {sql_rounded('1 - rss / syy * (n - 1) / dfr')} as adj_r_squared, {sql_rounded('sigma')} as sigma,
-        {sql_rounded('(syy - rss) / (rss / dfr)', 3)} as statistic, 1 as df,
+        {sql_rounded('(syy - rss) / (rss / dfr)', 0)} as statistic, 1 as df,
         {sql_rounded(LOG_LIK, 4)} as log_lik, {sql_rounded(f'-2 * {LOG_LIK} + 6', 4)} as aic,
-        {sql_rounded(f'-2 * {LOG_LIK} + 3 * ln(n)', 4)} as bic, {sql_rounded('rss', 3)} as deviance,
+        {sql_rounded(f'-2 * {LOG_LIK} + 3 * ln(n)', 4)} as bic, {sql_rounded('rss', 0)} as deviance,
         cast(dfr as bigint) as df_residual, cast(n as bigint) as nobs from cm""",
     COUNT_MODEL_SQL,
 )
 def reg_glance(m):
     quality = regression.glance(projections.sale_count_models(m.listings), ["sale_year"])
-    digits = {"r_squared": 6, "adj_r_squared": 6, "sigma": 6, "statistic": 3, "log_lik": 4, "aic": 4, "bic": 4, "deviance": 3}
+    digits = {"r_squared": 6, "adj_r_squared": 6, "sigma": 6, "statistic": 0, "log_lik": 4, "aic": 4, "bic": 4, "deviance": 0}
     return quality.withColumns({c: rounded(c, d) for c, d in digits.items()})
 
 
-@query("reg_glance_p_value")
+def p_value_sql(t: str) -> str:
+    """Two-sided p-value of ``t`` with ``dfr`` degrees of freedom, as the finite trigonometric sum."""
+    angle = f"atan(abs({t}) / sqrt(dfr))"
+    odd = (
+        f"2 / pi() * ({angle} + sin({angle}) * coalesce((select sum(exp(lgamma(i + 1) - lgamma(i + 1.5e0))"
+        f" * sqrt(pi()) / 2 * pow(cos({angle}), 2 * i + 1)) from steps where i <= (dfr - 3) / 2), 0))"
+    )
+    even = (
+        f"sin({angle}) * (select sum(exp(lgamma(i + 0.5e0) - lgamma(i + 1)) / sqrt(pi())"
+        f" * pow(cos({angle}), 2 * i)) from steps where i <= (dfr - 2) / 2)"
+    )
+    return f"case when dfr >= 1 then 1 - case when dfr % 2 = 1 then {odd} else {even} end end"
+
+
+SPEED_MODEL_SQL = (
+    ols_sql(
+        "pm",
+        "(select listing_year, category, time_on_market, day_of_year from e where sale_date is not null)",
+        "listing_year, category",
+        "time_on_market",
+        "day_of_year",
+    )
+    + """,
+steps as (select cast(unnest(range(0, 40000)) as double) as i),
+pt as (
+  select listing_year, category, dfr, slope / nullif(sigma / sqrt(sxx), 0) as ts,
+         icpt / nullif(sigma * sqrt(1e0 / n + case when slope is null then 0 else xm * xm / sxx end), 0) as ti
+  from pm)
+"""
+)
+
+
+def speed_models(m):
+    """Does the time on market depend on the season? One line per listing year and category."""
+    return regression.ols(m.sold, ["listing_year", "category"], "time_on_market", "day_of_year")
+
+
+@query(
+    "reg_glance_p_value",
+    f"""select listing_year, category, {sql_rounded('ts * ts')} as statistic,
+        {sql_rounded(p_value_sql('ts'))} as p_value from pt""",
+    SPEED_MODEL_SQL,
+)
 def reg_glance_p_value(m):
-    quality = regression.glance(projections.value_models(m.listings), ["sale_year"])
-    return regression.with_f_p_value(quality)
+    quality = regression.with_f_p_value(regression.glance(speed_models(m), ["listing_year", "category"]))
+    return quality.select(
+        "listing_year", "category", rounded("statistic").alias("statistic"), rounded("p_value").alias("p_value")
+    )
 
 
 @query(
@@ -149,10 +193,21 @@ def reg_tidy(m):
     )
 
 
-@query("reg_tidy_p_value")
+@query(
+    "reg_tidy_p_value",
+    f"""select listing_year, category, '(Intercept)' as term, {sql_rounded('ti', 5)} as statistic,
+        {sql_rounded(p_value_sql('ti'))} as p_value from pt
+        union all select listing_year, category, 'day_of_year', {sql_rounded('ts', 5)},
+        {sql_rounded(p_value_sql('ts'))} from pt""",
+    SPEED_MODEL_SQL,
+)
 def reg_tidy_p_value(m):
-    return regression.with_t_p_value(
-        regression.tidy(projections.value_models(m.listings), ["sale_year"], "day_of_year")
+    rows = regression.with_t_p_value(
+        regression.tidy(speed_models(m), ["listing_year", "category"], "day_of_year")
+    )
+    return rows.select(
+        "listing_year", "category", "term", rounded("statistic", 5).alias("statistic"),
+        rounded("p_value").alias("p_value"),
     )
 
 
@@ -317,11 +372,11 @@ def cubic(m):
 
 @query(
     "reg_cubic",
-    f"select distinct sale_date, {sql_rounded('fitted', 4)} as fitted from cf",
+    f"select distinct sale_date, {sql_rounded('fitted', 2)} as fitted from cf",
     CUBIC_SQL,
 )
 def reg_cubic(m):
-    return cubic(m).select("sale_date", rounded("fitted", 4).alias("fitted")).distinct()
+    return cubic(m).select("sale_date", rounded("fitted", 2).alias("fitted")).distinct()
 
 
 @query(
@@ -354,7 +409,9 @@ RES = f"(sale_count - {fit_sql('day_of_year')})"
 )
 def reg_augment(m):
     counted = reports.sale_counter(m.listings)
-    models = regression.ols(counted, ["sale_year"], "sale_count", "day_of_year")
+    models = materialize(
+        regression.ols(counted, ["sale_year"], "sale_count", "day_of_year"), "sale-count-models"
+    )
     rows = regression.augment(counted, models, ["sale_year"], "sale_count", "day_of_year")
     return rows.select(
         "listing_id", "sale_year", rounded("fitted", 5).alias("fitted"), rounded("residual", 5).alias("residual"),
@@ -363,15 +420,6 @@ def reg_augment(m):
     )
 
 
-@query("reg_categorical")
-def reg_categorical(m):
-    rows = frequent_groups(m.sold, "area", 12).select(
-        F.col("amount").cast("double").alias("amount"), "category", "area",
-        F.unix_date("sale_date").cast("double").alias("sale_day"),
-    )
-    return forecast.categorical_ols(rows, "amount", ["sale_day"], ["category", "area"])
-
-
 @query(
     "feat_date_recipe",
     f"""select listing_id, cast(month(sale_date) as int) as sale_date_month,
@@ -474,9 +522,9 @@ fx as (select *, cast(date_diff('day', date '1970-01-01', month) as double) as x
 """
 
 
-def _forecast_rows(df):
+def _forecast_rows(df, digits=4):
     return df.select(
-        "category", "month", rounded("actual").alias("actual"), rounded("predicted", 4).alias("predicted")
+        "category", "month", rounded("actual").alias("actual"), rounded("predicted", digits).alias("predicted")
     )
 
 
@@ -514,6 +562,88 @@ def ts_ar_forecast(m):
     return _forecast_rows(forecast.autoregressive(price_series(m), "category"))
 
 
+def stepwise_sql(source: str, terms: dict[str, str]) -> str:
+    """CTEs that regress ``value`` on the terms one by one, each freed of the ones before it.
+
+    The last CTE, ``st``, has a prediction for every row of ``source``, observed or not.
+    """
+    names = list(terms)
+    columns = ", ".join(f"cast({sql} as double) as {name}" for name, sql in terms.items())
+    steps = [f"st0 as (select category, month, value, value as res, 0e0 as predicted, {columns} from {source})"]
+    for k, q in enumerate(names):
+
+        def share(of: str) -> str:
+            sums = f"sum({of} * {q}) filter (where value is not null) over (partition by category)"
+            norm = f"sum({q} * {q}) filter (where value is not null) over (partition by category)"
+            return f"coalesce({sums} / case when {norm} > 1e-9 then {norm} end, 0) * {q}"
+
+        rest = "".join(f", {name} - {share(name)} as {name}" for name in names[k + 1 :])
+        steps.append(
+            f"st{k + 1} as (select category, month, value, res - {share('res')} as res,"
+            f" predicted + {share('res')} as predicted{rest} from st{k})"
+        )
+    return ",\n".join(steps) + f",\nst as (select * from st{len(names)})"
+
+
+TIME_SQL = """
+tx as (select fx.*, date_diff('day', first, month) / cast(nullif(date_diff('day', first, last), 0) as double) as t
+       from fx join (select category, min(month) as first, max(month) as last from se group by 1) using (category)),
+kn as (select category, quantile_cont(t, 0.25) as k0, quantile_cont(t, 0.5) as k1, quantile_cont(t, 0.75) as k2
+       from tx where value is not null group by 1),
+tk as (select tx.*, k0, k1, k2 from tx join kn using (category))
+"""
+WAVES = {
+    f"{wave}{k}": f"{wave}(2 * pi() * season * {k} / 12)" for k in (1, 2, 3) for wave in ("sin", "cos")
+}
+BENDS = {f"bend{i}": f"greatest(t - k{i}, 0)" for i in range(3)}
+LEVELS = {f"month{k}": f"case when season = {k} then 1 else 0 end" for k in range(2, 13)}
+STEPWISE_RESULT = f"""select category, month, {sql_rounded('value')} as actual,
+  {sql_rounded('predicted', 3)} as predicted from st"""
+
+
+CATEGORICAL_TERMS = {
+    "(Intercept)": "1",
+    "sale_day": "sale_day",
+    **{f"category={c}": f"case when cat = '{c}' then 1 else 0 end" for c in ("BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")},
+    **{f"area=NATION_{k}": f"case when area = 'NATION_{k}' then 1 else 0 end" for k in range(1, 25)},
+}
+# Besides the sales, one row per term with a 1 in it and no value: its prediction is the coefficient.
+CATEGORICAL_SQL = (
+    """
+ca as (
+  select 'all' as category, null as month, cast(amount as double) as value, category as cat, area,
+         cast(date_diff('day', date '1970-01-01', sale_date) as double) as sale_day
+  from e where sale_date is not null and area in
+    (select area from e where sale_date is not null group by 1 having count(*) >= 12)
+  union all
+  select 'all', term, null, null, null, null from (select unnest(["""
+    + ", ".join(f"'{t}'" for t in CATEGORICAL_TERMS)
+    + """]) as term)),
+"""
+    + stepwise_sql(
+        "ca",
+        {
+            f"c{i}": f"case when month is null then {sql} when month = '{term}' then 1 else 0 end"
+            for i, (term, sql) in enumerate(CATEGORICAL_TERMS.items())
+        },
+    )
+)
+
+
+@query(
+    "reg_categorical",
+    f"select month as term, {sql_rounded('predicted', 2)} as estimate from st where month is not null",
+    CATEGORICAL_SQL,
+)
+def reg_categorical(m):
+    rows = frequent_groups(m.sold, "area", 12).select(
+        F.col("amount").cast("double").alias("amount"), "category", "area",
+        F.unix_date("sale_date").cast("double").alias("sale_day"),
+    )
+    coefficients = forecast.categorical_ols(rows, "amount", ["sale_day"], ["category", "area"])
+    return coefficients.withColumn("estimate", rounded("estimate", 2))
+
+
 @query("ts_ets_forecast")
 def ts_ets_forecast(m):
     return _forecast_rows(forecast.exponential_smoothing(price_series(m), "category"))
@@ -524,14 +654,22 @@ def ts_gbt_forecast(m):
     return _forecast_rows(forecast.boosted_trees(price_series(m), "category"))
 
 
-@query("ts_fourier_trend")
+@query(
+    "ts_fourier_trend",
+    STEPWISE_RESULT,
+    SERIES_SQL + "," + TIME_SQL + "," + stepwise_sql("tk", {"one": "1", "tt": "t", **WAVES}),
+)
 def ts_fourier_trend(m):
-    return _forecast_rows(forecast.fourier_trend(price_series(m), "category"))
+    return _forecast_rows(forecast.fourier_trend(price_series(m), "category"), digits=3)
 
 
-@query("ts_hinge_regression")
+@query(
+    "ts_hinge_regression",
+    STEPWISE_RESULT,
+    SERIES_SQL + "," + TIME_SQL + "," + stepwise_sql("tk", {"one": "1", "tt": "t", **BENDS, **LEVELS}),
+)
 def ts_hinge_regression(m):
-    return _forecast_rows(forecast.hinge_trend(price_series(m), "category"))
+    return _forecast_rows(forecast.hinge_trend(price_series(m), "category"), digits=3)
 
 
 def all_models(m):

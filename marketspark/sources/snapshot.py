@@ -50,7 +50,11 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
 
 
 def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, keeps column pruning."""
+    """Write ``df`` to the shared folder and read it back.
+
+    Cuts lineage, keeps column pruning, and tells the optimizer the real size of a small aggregate:
+    it then broadcasts it if it fits, without first shuffling the large side of the join.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     write_snapshot(df, path, partition_by)
