@@ -28,17 +28,19 @@ def order_slices(
     slices: int | None = None,
     name: str = "order_slice",
     sample: Column | None = None,
+    profile: DataFrame | None = None,
 ) -> DataFrame:
     """Number rows by which quantile slice of ``column`` they fall in, preserving its order.
 
     A binary search over the quantiles, one projection per step, stays inside generated code. The
-    quantiles are those of ``sample`` if given: any expression of ``df`` in the same unit.
+    quantiles are those of ``sample`` if given, any expression in the same unit, and are taken over
+    ``profile`` if given, a table that is cheaper to read than ``df``.
     """
     count = slice_count(df, slices)
     if count == 1:
         return df.withColumn(name, F.lit(0))
     steps = [F.lit(i / count) for i in range(1, count)]
-    bounds = df.select(
+    bounds = (df if profile is None else profile).select(
         F.percentile_approx(
             F.col(column) if sample is None else sample, F.array(*steps), 10 * count
         ).alias("slice_bounds")
@@ -169,21 +171,22 @@ def previous_value(
     tie: str,
     hot_rows: int = 1_000_000,
     slices: int | None = None,
+    profile: DataFrame | None = None,
 ) -> DataFrame:
     """``lag(value)`` per key in (``day``, ``tie``) order, with over-full keys cut into pieces.
 
     Keys of more than ``hot_rows`` rows (at most rows / ``hot_rows`` of them) are split by day and
-    id slice. Only the last value of each piece crosses to the next one.
+    id slice. Only the last value of each piece crosses to the next one. ``profile`` is a table with
+    the same keys and ids that is cheaper to read than ``df``; over-full keys are found in it.
     """
-    hot = (
-        df.groupBy(key).agg(F.count("*").alias("key_rows")).filter(F.col("key_rows") > hot_rows)
-        .select(key, F.lit(True).alias("is_hot"))
-    )
-    # Bounded by rows / hot_rows.
-    sliced = order_slices(df, tie, slices).join(F.broadcast(hot), key, "left")
+    sizes = (df if profile is None else profile).groupBy(key).agg(F.count("*").alias("n"))
+    hot = sizes.filter(F.col("n") > hot_rows).select(key, F.lit(True).alias("is_hot"))
+    # At most rows / hot_rows keys.
+    sliced = order_slices(df, tie, slices, profile=profile).join(F.broadcast(hot), key, "left")
+    no_day = F.to_date(F.lit("1970-01-01"))
     pieces = sliced.withColumns(
         {
-            "piece_day": F.when(F.col("is_hot"), F.col(day)).otherwise(F.to_date(F.lit("1970-01-01"))),
+            "piece_day": F.when(F.col("is_hot"), F.col(day)).otherwise(no_day),
             "piece_slice": F.when(F.col("is_hot"), F.col("order_slice")).otherwise(0),
         }
     ).drop("order_slice")
@@ -193,10 +196,8 @@ def previous_value(
         .groupBy(*piece)
         .agg(F.max_by(F.struct(value), F.struct(day, tie)).alias("last"))
     )
-    carried = lasts.select(
-        *piece,
-        F.lag("last").over(Window.partitionBy(key).orderBy("piece_day", "piece_slice"))[value].alias("carried"),
-    )
+    in_order = Window.partitionBy(key).orderBy("piece_day", "piece_slice")
+    carried = lasts.select(*piece, F.lag("last").over(in_order)[value].alias("carried"))
     window = Window.partitionBy(*piece).orderBy(day, tie)
     first = F.row_number().over(window) == 1
     return (

@@ -261,7 +261,13 @@ def resale_lags(listings):
     """Months between a sale and the next listing of the same entity."""
     rows = repeated_keys(listings.select("listing_id", "entity_id", "listing_date", "sale_date"), "entity_id")
     before = previous_value(
-        rows, "previous_sale", "sale_date", key="entity_id", day="listing_date", tie="listing_id"
+        rows,
+        "previous_sale",
+        "sale_date",
+        key="entity_id",
+        day="listing_date",
+        tie="listing_id",
+        profile=listings,
     )
     return before.withColumn("lag_time", months_of(F.datediff("listing_date", "previous_sale")))
 
