@@ -202,7 +202,7 @@ def previous_value(
     first = F.row_number().over(window) == 1
     return (
         pieces.repartition(*piece)  # not by key alone: see running_sums
-        .join(carried, piece, "left")
+        .join(carried.hint("shuffle_hash"), piece, "left")
         .withColumn(name, F.when(first, F.col("carried")).otherwise(F.lag(value).over(window)))
         .drop("carried", "is_hot", "piece_day", "piece_slice")
     )
