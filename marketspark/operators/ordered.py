@@ -28,19 +28,17 @@ def order_slices(
     slices: int | None = None,
     name: str = "order_slice",
     sample: Column | None = None,
-    profile: DataFrame | None = None,
 ) -> DataFrame:
     """Number rows by which quantile slice of ``column`` they fall in, preserving its order.
 
     A binary search over the quantiles, one projection per step, stays inside generated code. The
-    quantiles are those of ``sample`` if given, any expression in the same unit, and are taken over
-    ``profile`` if given, a table that is cheaper to read than ``df``.
+    quantiles are those of ``sample`` if given: any expression of ``df`` in the same unit.
     """
     count = slice_count(df, slices)
     if count == 1:
         return df.withColumn(name, F.lit(0))
     steps = [F.lit(i / count) for i in range(1, count)]
-    bounds = (df if profile is None else profile).select(
+    bounds = df.select(
         F.percentile_approx(
             F.col(column) if sample is None else sample, F.array(*steps), 10 * count
         ).alias("slice_bounds")
@@ -171,18 +169,18 @@ def previous_value(
     tie: str,
     hot_rows: int = 1_000_000,
     slices: int | None = None,
-    profile: DataFrame | None = None,
+    repeated_only: bool = False,
 ) -> DataFrame:
     """``lag(value)`` per key in (``day``, ``tie``) order, with over-full keys cut into pieces.
 
     Keys of more than ``hot_rows`` rows (at most rows / ``hot_rows`` of them) are split by day and
-    id slice. Only the last value of each piece crosses to the next one. ``profile`` is a table with
-    the same keys and ids that is cheaper to read than ``df``; over-full keys are found in it.
+    id slice. Only the last value of each piece crosses to the next one. ``repeated_only`` drops
+    the rows of keys that occur once; it needs no join, as the window sees the size of the key.
     """
-    sizes = (df if profile is None else profile).groupBy(key).agg(F.count("*").alias("n"))
+    sizes = df.groupBy(key).agg(F.count("*").alias("n"))
     hot = sizes.filter(F.col("n") > hot_rows).select(key, F.lit(True).alias("is_hot"))
     # At most rows / hot_rows keys.
-    sliced = order_slices(df, tie, slices, profile=profile).join(F.broadcast(hot), key, "left")
+    sliced = order_slices(df, tie, slices).join(F.broadcast(hot), key, "left")
     no_day = F.to_date(F.lit("1970-01-01"))
     pieces = sliced.withColumns(
         {
@@ -200,12 +198,16 @@ def previous_value(
     carried = lasts.select(*piece, F.lag("last").over(in_order)[value].alias("carried"))
     window = Window.partitionBy(*piece).orderBy(day, tie)
     first = F.row_number().over(window) == 1
-    return (
+    lagged = (
         pieces.repartition(*piece)  # not by key alone: see running_sums
         .join(carried.hint("shuffle_hash"), piece, "left")
         .withColumn(name, F.when(first, F.col("carried")).otherwise(F.lag(value).over(window)))
-        .drop("carried", "is_hot", "piece_day", "piece_slice")
     )
+    if repeated_only:
+        size = F.count(F.lit(1)).over(Window.partitionBy(*piece))
+        over_full = F.coalesce(F.col("is_hot"), F.lit(False))
+        lagged = lagged.withColumn("piece_rows", size).filter(over_full | (F.col("piece_rows") > 1))
+    return lagged.drop("carried", "is_hot", "piece_day", "piece_slice", "piece_rows")
 
 
 def carry_forward(df: DataFrame, value: str, *, groups: Sequence[str], order: str) -> DataFrame:

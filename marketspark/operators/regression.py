@@ -35,6 +35,7 @@ def ols(df: DataFrame, keys: Sequence[str], y: str, x: str) -> DataFrame:
             F.regr_sxx(yd, xd).alias("sxx"),
             F.regr_sxy(yd, xd).alias("sxy"),
             F.regr_syy(yd, xd).alias("syy"),
+            F.max(yd).alias("y_max"),
         )
         .filter(F.col("nobs") > 0)
     )

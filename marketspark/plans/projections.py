@@ -7,7 +7,6 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marketspark.operators.regression import ols, predict
-from marketspark.operators.topk import group_peaks
 from marketspark.plans.reports import last_sale_day, sale_counter, value_by_year
 
 
@@ -16,57 +15,59 @@ def value_models(listings: DataFrame) -> DataFrame:
     return ols(value_by_year(listings), ["sale_year"], "market_value", "day_of_year")
 
 
-def value_scores(listings: DataFrame) -> DataFrame:
-    """Each year's line at day 1 and at the median last sale day."""
-    last = last_sale_day(listings).scalar()
-    days = F.array(F.lit(1.0), last)
-    return predict(value_models(listings).withColumn("day_of_year", F.explode(days)), "day_of_year")
+def value_days(listings: DataFrame) -> Column:
+    """The days to score: the first of the year and the median last sale day."""
+    return F.array(F.lit(1.0), last_sale_day(listings).scalar())
 
 
 def sale_count_models(listings: DataFrame) -> DataFrame:
     return ols(sale_counter(listings), ["sale_year"], "sale_count", "day_of_year")
 
 
+def score(models: DataFrame, days: Column) -> DataFrame:
+    """Each year's line at each of an array of days."""
+    return predict(models.withColumn("day_of_year", F.explode(days)), "day_of_year")
+
+
+def value_scores(listings: DataFrame) -> DataFrame:
+    return score(value_models(listings), value_days(listings))
+
+
 def sale_count_scores(listings: DataFrame, days: tuple[int, ...]) -> DataFrame:
-    grid = F.explode(F.array(*[F.lit(d) for d in days]))
-    return predict(sale_count_models(listings).withColumn("day_of_year", grid), "day_of_year")
+    return score(sale_count_models(listings), F.array(*[F.lit(d) for d in days]))
 
 
-def at_last_day(scores: DataFrame) -> DataFrame:
-    """Only the latest scored day."""
-    return scores.filter(
-        F.col("day_of_year") == scores.agg(F.max("day_of_year").alias("last")).scalar()
-    )
+def year_end(models: DataFrame, days: Column) -> DataFrame:
+    """Each year's line at the last of the days, next to its highest running value ``y_max``."""
+    return predict(models.withColumn("day_of_year", F.array_max(days)), "day_of_year")
 
 
-def year_end_range(
-    value: DataFrame, counts: DataFrame, as_of: date
-) -> DataFrame:
+def year_end_range(listings: DataFrame, days: tuple[int, ...], as_of: date) -> DataFrame:
     """Expected range of the running year: value in millions and number of sales."""
     this_year = F.col("sale_year") == as_of.year
-    money = at_last_day(value).filter(this_year).select(
+    money_end = year_end(value_models(listings), value_days(listings)).filter(this_year).select(
         "sale_year",
         F.bround(F.col("lower") / 1e6, 1).alias("value_lower"),
         F.bround(F.col("upper") / 1e6, 1).alias("value_upper"),
     )
-    sales = at_last_day(counts).filter(this_year).select(
+    count_end = year_end(sale_count_models(listings), F.array(F.lit(max(days)))).filter(this_year).select(
         "sale_year",
         F.floor("lower").alias("sales_lower"),
         F.ceil("upper").alias("sales_upper"),
     )
-    return money.join(sales, "sale_year")
-
-
-def actual_and_predicted(
-    running: DataFrame, measure: str, scores: DataFrame, as_of: date
-) -> DataFrame:
-    """Each year's final running total next to its scored line at the last day."""
-    peak = group_peaks(running, ["sale_year"], measure, calendar_groups=True).select(
-        "sale_year", F.col(measure).cast("double").alias("actual")
-    ).distinct()
-    return peak.join(
-        at_last_day(scores).select("sale_year", "fitted", "lower", "upper"), "sale_year"
-    ).withColumn("predicted", F.col("sale_year") != F.lit(as_of.year))
+    return money_end.join(count_end, "sale_year")
+
+
+def actual_and_predicted(models: DataFrame, days: Column, as_of: date) -> DataFrame:
+    """Each year's highest running total next to its line at the last day."""
+    return year_end(models, days).select(
+        "sale_year",
+        F.col("y_max").alias("actual"),
+        "fitted",
+        "lower",
+        "upper",
+        (F.col("sale_year") != F.lit(as_of.year)).alias("predicted"),
+    )
 
 
 def money(column: str) -> Column:

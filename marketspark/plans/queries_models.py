@@ -221,9 +221,7 @@ def reg_tidy_p_value(m):
     VALUE_SCORES_SQL + "," + COUNT_SCORES_SQL,
 )
 def reg_year_projection(m):
-    value = projections.value_scores(m.listings)
-    counts = projections.sale_count_scores(m.listings, m.config.sale_count_days)
-    ranges = projections.year_end_range(value, counts, AS_OF)
+    ranges = projections.year_end_range(m.listings, m.config.sale_count_days, AS_OF)
     return ranges.withColumns({c: rounded(c, 1) for c in ("value_lower", "value_upper")})
 
 
@@ -243,12 +241,11 @@ def reg_year_projection(m):
 )
 def reg_actual_vs_predicted(m):
     value = projections.actual_and_predicted(
-        reports.value_by_year(m.listings), "market_value", projections.value_scores(m.listings), AS_OF
+        projections.value_models(m.listings), projections.value_days(m.listings), AS_OF
     )
     counts = projections.actual_and_predicted(
-        reports.sale_counter(m.listings),
-        "sale_count",
-        projections.sale_count_scores(m.listings, m.config.sale_count_days),
+        projections.sale_count_models(m.listings),
+        F.array(F.lit(max(m.config.sale_count_days))),
         AS_OF,
     )
     numbers = ("actual", "fitted", "lower", "upper")

@@ -259,15 +259,14 @@ rs as (
 
 def resale_lags(listings):
     """Months between a sale and the next listing of the same entity."""
-    rows = repeated_keys(listings.select("listing_id", "entity_id", "listing_date", "sale_date"), "entity_id")
     before = previous_value(
-        rows,
+        listings.select("listing_id", "entity_id", "listing_date", "sale_date"),
         "previous_sale",
         "sale_date",
         key="entity_id",
         day="listing_date",
         tie="listing_id",
-        profile=listings,
+        repeated_only=True,
     )
     return before.withColumn("lag_time", months_of(F.datediff("listing_date", "previous_sale")))
 
@@ -335,8 +334,13 @@ def win_inventory_overlay(m):
         normalize_year(F.col("event_date"), latest).alias("display_date"),
         F.col("inventory").cast("double").alias("inventory"),
     )
-    profile = reports.seasonal_inventory(m.listings, latest).select(
-        F.lit("mean").alias("series"), "display_date", rounded("mean_inventory").alias("inventory")
+    means = running_inventory(m.listings).groupBy(F.month("event_date").alias("month")).agg(
+        F.avg("inventory").alias("inventory")
+    )
+    profile = means.select(
+        F.lit("mean").alias("series"),
+        reports.pinned_month(latest).alias("display_date"),
+        rounded("inventory").alias("inventory"),
     )
     return years.unionByName(profile, allowMissingColumns=True)
 

@@ -73,6 +73,14 @@ def axis_limits(listings: DataFrame) -> DataFrame:
     )
 
 
+def pinned_month(year: Column) -> Column:
+    """Even dates over ``year`` for the rows of a table of at most twelve months."""
+    position = F.row_number().over(Window.orderBy("month"))
+    return F.date_add(
+        F.make_date(year, F.lit(1), F.lit(1)), F.floor(F.lit(364.0) * (position - 1) / 11).cast("int")
+    )
+
+
 def seasonal_inventory(listings: DataFrame, latest_year: Column) -> DataFrame:
     """Median and mean inventory per calendar month over all years, pinned to even dates."""
     events = materialize(
@@ -83,13 +91,7 @@ def seasonal_inventory(listings: DataFrame, latest_year: Column) -> DataFrame:
     medians = exact_quantiles(
         events, ["month"], "inventory", {"median_inventory": 0.5}, calendar_groups=True
     )
-    # Twelve rows.
-    position = F.row_number().over(Window.orderBy("month"))
-    pinned = F.date_add(
-        F.make_date(latest_year, F.lit(1), F.lit(1)),
-        F.floor(F.lit(364.0) * (position - 1) / 11).cast("int"),
-    )
-    return means.join(medians, "month").withColumn("display_date", pinned)
+    return means.join(medians, "month").withColumn("display_date", pinned_month(latest_year))
 
 
 def monthly_average_sales(listings: DataFrame) -> DataFrame:

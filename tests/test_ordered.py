@@ -194,6 +194,15 @@ def test_previous_value_with_and_without_splitting(make_listings, skewed_rows, h
         before[r[0]] = last.get(r[1])
         last[r[1]] = r[5]
     assert {r.listing_id: r.before for r in got} == before
+    sizes = Counter(r[1] for r in skewed_rows)
+    repeated = previous_value(
+        df, "before", "sale_date", key="entity_id", day="listing_date", tie="listing_id",
+        hot_rows=hot_rows, repeated_only=True,
+    ).collect()
+    if hot_rows:
+        assert {r.listing_id: r.before for r in repeated} == {
+            r[0]: before[r[0]] for r in skewed_rows if sizes[r[1]] > 1
+        }
 
 
 def test_hot_key_is_spread_over_partitions(make_listings, skewed_rows):
