@@ -175,7 +175,7 @@ def previous_value(
 
     Keys of more than ``hot_rows`` rows (at most rows / ``hot_rows`` of them) are split by day and
     id slice. Only the last value of each piece crosses to the next one. ``repeated_only`` drops
-    the rows of keys that occur once; it needs no join, as the window sees the size of the key.
+    the rows of keys that occur once; it needs no join, as the window sees the neighbours of a row.
     """
     sizes = df.groupBy(key).agg(F.count("*").alias("n"))
     hot = sizes.filter(F.col("n") > hot_rows).select(key, F.lit(True).alias("is_hot"))
@@ -204,10 +204,11 @@ def previous_value(
         .withColumn(name, F.when(first, F.col("carried")).otherwise(F.lag(value).over(window)))
     )
     if repeated_only:
-        size = F.count(F.lit(1)).over(Window.partitionBy(*piece))
+        # A whole key is one piece unless it is over-full: it repeats if a row has a neighbour.
+        follower = F.lead(F.lit(True)).over(window).isNotNull()
         over_full = F.coalesce(F.col("is_hot"), F.lit(False))
-        lagged = lagged.withColumn("piece_rows", size).filter(over_full | (F.col("piece_rows") > 1))
-    return lagged.drop("carried", "is_hot", "piece_day", "piece_slice", "piece_rows")
+        lagged = lagged.withColumn("repeats", over_full | ~first | follower).filter("repeats")
+    return lagged.drop("carried", "is_hot", "piece_day", "piece_slice", "repeats")
 
 
 def carry_forward(df: DataFrame, value: str, *, groups: Sequence[str], order: str) -> DataFrame:
