@@ -55,7 +55,7 @@ def test_rank(spark):
 
 
 def test_street_labels(spark):
-    assert one(spark, labels.street_of(F.lit("540 Shoreline"))) == "Shoreline"
+    assert one(spark, labels.street_of(F.lit("101 Oak"))) == "Oak"
     assert one(spark, labels.street_label(F.lit("Pier"), F.lit("TH"))) == "Pier TH"
     assert one(spark, labels.street_label(F.lit("Pier"), F.lit(None).cast("string"))) == "Pier"
     assert one(spark, labels.street_label(F.lit("Pier"), F.lit("TH"), ["Pier"])) == "Pier"
