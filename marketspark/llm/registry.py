@@ -2,18 +2,33 @@
 
 from __future__ import annotations
 
-from marketspark.llm import contamination, mixing, near_duplicates, toxicity
+from marketspark.llm import contamination, html_text, licenses, line_dedup, mixing, near_duplicates, quality, secrets, toxicity, warc
 from marketspark.llm.common import table
 
+
+def _over(query, *names: str):
+    return lambda spark, sf_dir: query(*(table(spark, sf_dir, name) for name in names))
+
+
 QUERIES = {
-    "op2_mix_sources": lambda spark, d: mixing.query(table(spark, d, "documents")),
-    "op7_ngram_jaccard": lambda spark, d: near_duplicates.query(table(spark, d, "documents")),
-    "op9_decontaminate": lambda spark, d: contamination.query(table(spark, d, "documents"), table(spark, d, "benchmark")),
-    "op10_toxicity": lambda spark, d: toxicity.query(table(spark, d, "documents"), table(spark, d, "labels")),
+    "op1_quality_rules": _over(quality.query, "documents", "labels"),
+    "op2_mix_sources": _over(mixing.query, "documents"),
+    "op3_html_text": _over(html_text.query, "pages"),
+    "op4_warc_revisits": _over(warc.query, "pages"),
+    "op5_line_dedup": _over(line_dedup.query, "documents"),
+    "op6_secret_scan": _over(secrets.query, "documents"),
+    "op7_ngram_jaccard": _over(near_duplicates.query, "documents"),
+    "op8_license_scan": _over(licenses.query, "documents"),
+    "op9_decontaminate": _over(contamination.query, "documents", "benchmark"),
+    "op10_toxicity": _over(toxicity.query, "documents", "labels"),
 }
 
+# Forest, page parser, ledger and classifier have no SQL form; tests compare them by brute force.
 ORACLES = {
     "op2_mix_sources": mixing.SQL,
+    "op4_warc_revisits": warc.SQL,
+    "op5_line_dedup": line_dedup.SQL,
     "op7_ngram_jaccard": near_duplicates.SQL,
+    "op8_license_scan": licenses.SQL,
     "op9_decontaminate": contamination.SQL,
 }
