@@ -106,9 +106,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 SQL = r"""
-with d as (select doc_id, list_filter(string_split_regex(lower_a, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') as ws
+with d as (select doc_id, list_filter(string_split_regex(lower_a, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as ws
            from (select doc_id, translate(coalesce(text,''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as lower_a from documents)),
-b as (select item_id, list_filter(string_split_regex(translate(coalesce(text,''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') as iw from benchmark),
+b as (select item_id, list_filter(string_split_regex(translate(coalesce(text,''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as iw from benchmark),
 s as (select distinct item_id, n, array_to_string(iw[j:j + n - 1], ' ') as span
       from (select item_id, iw, n, unnest(range(1, len(iw) - n + 2)) as j from (select item_id, iw, least(len(iw), 13) as n from b where len(iw) > 0))),
 w as (select doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') as span

@@ -64,11 +64,11 @@ SQL = (
 with t(license, notice) as (values """
     + ", ".join("('%s', '%s')" % (k, v.replace("'", "''")) for k, v in TEMPLATES.items())
     + r"""),
-n as (select license, list_filter(string_split_regex(lower(notice), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') as w from t),
-tb as (select license, list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) as b from n),
+n as (select license, list_filter(string_split_regex(lower(notice), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from t),
+tb as (select license, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as b from n),
 l as (select doc_id, unnest(range(len(s))) as line_no, unnest(s) as line from (select doc_id, string_split(coalesce(text,''), chr(10)) as s from documents)),
-w as (select doc_id, line_no, list_filter(string_split_regex(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') as w from l),
-lb as (select doc_id, line_no, list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) as b from w where len(w) >= 2)
+w as (select doc_id, line_no, list_filter(string_split_regex(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from l),
+lb as (select doc_id, line_no, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as b from w where len(w) >= 2)
 select doc_id, line_no, license, round(2.0::double * len(list_intersect(lb.b, tb.b)) / (len(lb.b) + len(tb.b)), 6) as dice
 from lb, tb where 200 * len(list_intersect(lb.b, tb.b)) >= 80 * (len(lb.b) + len(tb.b))
 """

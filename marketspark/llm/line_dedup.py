@@ -110,16 +110,16 @@ def query(docs: DataFrame) -> DataFrame:
 
 SQL = r"""
 with l as (select doc_id, unnest(range(len(s))) as line_no, unnest(s) as line from (select doc_id, string_split(coalesce(text,''), chr(10)) as s from documents)),
-w as (select doc_id, line_no, list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), x -> x <> '') as ws from l),
+w as (select doc_id, line_no, list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from l),
 k as (select *, len(ws) as n, array_to_string(ws, ' ') as key from w),
-f as (select key, any_value(ws) as ws, any_value(n) as n, min((doc_id, line_no)) as at from k where n >= 8 group by key),
-v as (select key, at, ws, n, 0 as i, key as var from f union all
-      select key, at, ws, n, i, array_to_string(list_concat(ws[1:i - 1], ws[i + 1:]), ' ') from (select *, unnest(range(1, n + 1)) as i from f)),
-p as (select distinct a.key, a.ws as wa, b.ws as wb, a.n as na, b.n as nb from v a join v b on a.var = b.var and b.at < a.at),
-e as (select distinct key from p where list_aggregate(list_transform(range(0, greatest(na, nb) + 1), i -> case when
+f as (select key, any_value(ws) as ws, any_value(n) as n, min((doc_id, line_no)) as first_at from k where n >= 8 group by key),
+v as (select key, first_at, ws, n, 0 as i, key as var from f union all
+      select key, first_at, ws, n, i, array_to_string(list_concat(ws[1:i - 1], ws[i + 1:]), ' ') from (select *, unnest(range(1, n + 1)) as i from f)),
+p as (select distinct a.key, a.ws as wa, b.ws as wb, a.n as na, b.n as nb from v a join v b on a.var = b.var and b.first_at < a.first_at),
+e as (select distinct key from p where list_aggregate(list_transform(range(0, greatest(na, nb) + 1), lambda i: case when
         i <= least(na, nb) and wa[1:i] = wb[1:i] and (wa[i + 2:] = wb[i + 2:] or wa[i + 1:] = wb[i + 2:] or wa[i + 2:] = wb[i + 1:]) then 1 else 0 end), 'max') = 1)
 select k.doc_id, count(*) as n_lines,
-       cast(sum(case when k.n < 8 or (f.at = (k.doc_id, k.line_no) and e.key is null) then 0 else 1 end) as bigint) as n_dropped,
-       cast(sum(case when k.n < 8 or (f.at = (k.doc_id, k.line_no) and e.key is null) then k.n else 0 end) as bigint) as n_words_kept
+       cast(sum(case when k.n < 8 or (f.first_at = (k.doc_id, k.line_no) and e.key is null) then 0 else 1 end) as bigint) as n_dropped,
+       cast(sum(case when k.n < 8 or (f.first_at = (k.doc_id, k.line_no) and e.key is null) then k.n else 0 end) as bigint) as n_words_kept
 from k left join f on f.key = k.key left join e on e.key = k.key group by k.doc_id
 """

@@ -17,7 +17,7 @@ TREE_ROWS = 256
 DEPTH = 12
 FALSE_ALARMS = 0.002  # share of good labelled rows the threshold may reject
 STATS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_marks long"
-FEATURES = ("symbol_rate", "upper_rate", "mark_rate", "word_length", "dup_rate", "repeat_rate")
+FEATURES = ("symbol_rate", "upper_rate", "mark_rate", "dup_rate", "repeat_rate")  # each in 0 to 1
 
 
 def statistics(text: str | None) -> tuple[int, ...]:
@@ -58,11 +58,11 @@ def document_statistics(docs: DataFrame) -> DataFrame:
 
 
 def _features(df: DataFrame) -> DataFrame:
-    per = lambda a, b: F.col(a) / F.greatest(F.lit(1), F.col(b))
+    per = lambda a, b: F.least(F.lit(1.0), F.col(a) / F.greatest(F.lit(1), F.col(b)))
     return df.withColumns(
         {
             "symbol_rate": per("n_symbols", "n_words"), "upper_rate": per("n_upper", "word_chars"), "mark_rate": per("n_marks", "n_words"),
-            "word_length": per("word_chars", "n_words"), "dup_rate": per("n_dup_lines", "n_lines"), "repeat_rate": per("n_repeat_words", "n_words"),
+            "dup_rate": per("n_dup_lines", "n_lines"), "repeat_rate": per("n_repeat_words", "n_words"),
             "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
         }
     )
@@ -74,31 +74,31 @@ def _expected(n: int) -> float:
 
 
 def grow(rows: np.ndarray, seed: int = 7) -> list[list[tuple]]:
-    """Trees of nodes ``(feature, split, left, right)``; a leaf has feature -1 and its depth."""
+    """Trees of nodes ``(feature, split, left, right)``; a leaf has feature -1 and its depth.
+
+    Splits are drawn over the box of the node, the unit cube at first, and not over its rows' range:
+    rows unlike any the tree grew from then end early, in boxes that hold none.
+    """
     rng = np.random.default_rng(seed)
     forest = []
     for _ in range(TREES if len(rows) else 0):
         nodes: list[tuple] = []
 
-        def node(x: np.ndarray, depth: int) -> int:
-            low, high = x.min(0), x.max(0)
-            free = np.flatnonzero(high > low)
+        def node(x: np.ndarray, low: np.ndarray, high: np.ndarray, depth: int) -> int:
             at = len(nodes)
-            nodes.append(())
-            if depth == DEPTH or len(x) < 2 or not len(free):
-                nodes[at] = (-1, depth + _expected(len(x)), 0, 0)
+            nodes.append((-1, depth + _expected(len(x)), 0, 0))
+            if depth == DEPTH or len(x) < 2:
                 return at
-            f = int(rng.choice(free))
+            f = int(rng.integers(x.shape[1]))
             split = float(rng.uniform(low[f], high[f]))
+            under, over = high.copy(), low.copy()
+            under[f] = over[f] = split
             left = x[:, f] < split
-            if left.all() or not left.any():
-                nodes[at] = (-1, depth + _expected(len(x)), 0, 0)
-                return at
-            a = node(x[left], depth + 1)
-            nodes[at] = (f, split, a, node(x[~left], depth + 1))
+            a = node(x[left], low, under, depth + 1)
+            nodes[at] = (f, split, a, node(x[~left], over, high, depth + 1))
             return at
 
-        node(rows[rng.choice(len(rows), min(TREE_ROWS, len(rows)), replace=False)], 0)
+        node(rows[rng.choice(len(rows), min(TREE_ROWS, len(rows)), replace=False)], np.zeros(rows.shape[1]), np.ones(rows.shape[1]), 0)
         forest.append(nodes)
     return forest
 

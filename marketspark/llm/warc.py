@@ -87,13 +87,13 @@ SQL = r"""
 with p as (select page_id, url, md5(coalesce(html,'')) as tag, length(coalesce(html,'')) as chars from pages),
 u as (select *, regexp_replace(regexp_replace(coalesce(url,''), '#.*$', ''), '^[A-Za-z]+://', '') as rest from p),
 c as (select *, regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), '^www\.', '') || regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') as hp,
-             array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), x -> x <> '' and not regexp_matches(x, '^(utm_|ref=)'))), '&') as q from u),
+             array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), lambda x: x <> '' and not regexp_matches(x, '^(utm_|ref=)'))), '&') as q from u),
 k as (select *, hp || case when q <> '' then '?' || q else '' end as canonical from c),
-v as (select k.*, k.page_id * 60 + 86400 as at, case when k.page_id % 5 = 0 then 'other' else tag end as asked,
+v as (select k.*, k.page_id * 60 + 86400 as sent, case when k.page_id % 5 = 0 then 'other' else tag end as asked,
              (select max((f.page_id * 60, f.page_id * 2)) from k f where f.canonical = k.canonical and f.page_id * 60 < k.page_id * 60 + 86400)[2] as of from k),
 j as (select v.*, f.tag as base_tag, f.chars as base_chars, coalesce(f.tag = v.asked, false) as same from v left join k f on f.page_id * 2 = v.of)
 select page_id * 2 as record_id, canonical, 'full' as state, cast(null as bigint) as resolved_id, tag as etag, 'text/html' as content_type, cast(page_id * 60 as varchar) as date_sent, chars as body_chars from k
 union all
 select page_id * 2 + 1, canonical, case when of is null then 'orphan' when same then 'resolved' else 'mismatch' end, case when same then of end,
-       case when page_id % 5 = 0 then 'other' else 'W/' || tag end, case when same then 'text/html' else 'ignored' end, cast(at as varchar), case when same then base_chars end from j
+       case when page_id % 5 = 0 then 'other' else 'W/' || tag end, case when same then 'text/html' else 'ignored' end, cast(sent as varchar), case when same then base_chars end from j
 """
