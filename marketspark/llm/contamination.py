@@ -109,10 +109,10 @@ SQL = r"""
 with d as (select doc_id, list_filter(string_split_regex(lower_a, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as ws
            from (select doc_id, translate(coalesce(text,''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as lower_a from documents)),
 b as (select item_id, list_filter(string_split_regex(translate(coalesce(text,''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as iw from benchmark),
-s as (select distinct item_id, n, array_to_string(iw[j:j + n - 1], ' ') as span
-      from (select item_id, iw, n, unnest(range(1, len(iw) - n + 2)) as j from (select item_id, iw, least(len(iw), 13) as n from b where len(iw) > 0))),
-w as (select doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') as span
-      from (select doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) as i from d, (select distinct n from s) where len(ws) >= n)),
+s as (select distinct item_id, n, unnest(list_transform(range(1, len(iw) - n + 2), lambda j: array_to_string(iw[j:j + n - 1], ' '))) as span
+      from (select item_id, iw, least(len(iw), 13) as n from b where len(iw) > 0)),
+w as (select doc_id, n, unnest(range(1, len(ws) - n + 2)) as i, unnest(list_transform(range(1, len(ws) - n + 2), lambda j: array_to_string(ws[j:j + n - 1], ' '))) as span
+      from d, (select distinct n from s) where len(ws) >= n),
 h as (select w.doc_id, s.item_id, w.i, w.n from w join s on w.n = s.n and w.span = s.span),
 c as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from h) group by doc_id),
 k as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, cast(item_id as varchar) as item from h) group by doc_id)
