@@ -26,6 +26,15 @@ def words(column: Column) -> Column:
     return F.array_remove(F.split(column, SPACE), "")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once.
+
+    The optimizer may copy a projected expression into each place that names it, also into lambdas
+    that run per element; a lambda's variable is never copied.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def lower_ascii(column: Column) -> Column:
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from marketspark.llm.common import lower_ascii, text_of
+from marketspark.llm.common import let, lower_ascii, text_of
 from marketspark.sources.snapshot import materialize
 
 WINDOW = 13
@@ -16,22 +16,19 @@ def plain_words(text: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(text), NOT_WORD), "")
 
 
-def _gram(ws: str, size: int) -> Column:
-    args = ", ".join(f"{ws}[i + {j}]" if j else f"{ws}[i]" for j in range(size))
-    return F.expr(f"transform(sequence(0, size({ws}) - {size}), i -> xxhash64({args}))")
+def _grams(ws: Column, size: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.size(ws) - size), lambda i: F.xxhash64(*[F.get(ws, i + j) for j in range(size)]))
 
 
-def _winnow(df: DataFrame) -> DataFrame:
-    """Adds ``marks``: the least hash of each run of WINDOW - GRAM + 1 grams, once per value.
+def marks_of(ws: Column) -> Column:
+    """The least hash of each run of WINDOW - GRAM + 1 grams, once per value.
 
     Any WINDOW words that two texts share hold such a run in both, so both keep its least hash.
     Texts shorter than WINDOW have no marks.
     """
     run = WINDOW - GRAM + 1
-    least = ", ".join(f"g[i + {j}]" if j else "g[i]" for j in range(run))
-    return df.withColumn("g", F.when(F.size("ws") >= WINDOW, _gram("ws", GRAM))).withColumn(
-        "marks", F.when(F.size("ws") >= WINDOW, F.array_distinct(F.expr(f"transform(sequence(0, size(g) - {run}), i -> least({least}))")))
-    )
+    least = lambda g: F.transform(F.sequence(F.lit(0), F.size(g) - run), lambda i: F.least(*[F.get(g, i + j) for j in range(run)]))
+    return let(ws, lambda w: F.when(F.size(w) >= WINDOW, F.array_distinct(let(_grams(w, GRAM), least))))
 
 
 def contaminated_words(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -48,16 +45,15 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         benchmark.select(F.col("item_id").cast("string").alias("item"), plain_words(text_of()).alias("iw")).where("size(iw) > 0"), "bench-items"
     )
     base = docs.select("doc_id", F.col("text").alias("t"), F.md5(text_of()).alias("row"))
-    marks = materialize(_winnow(items.withColumnRenamed("iw", "ws")).select("item", F.explode("marks").alias("mark")).distinct(), "bench-marks")
+    marks = materialize(items.select("item", F.explode(marks_of(F.col("iw"))).alias("mark")).distinct(), "bench-marks")
     texts = base.withColumn("ws", plain_words(text_of("t")))
-    found = _winnow(texts).select("doc_id", "row", F.size("ws").cast("long").alias("n_words"), "marks")
-    pairs = found.select("row", F.explode("marks").alias("mark")).join(marks, "mark").select("row", "item").distinct()
+    pairs = base.select("row", F.explode(marks_of(plain_words(text_of("t")))).alias("mark")).join(marks, "mark").select("row", "item").distinct()
     lengths = [r.n for r in items.select(F.size("iw").alias("n")).where(F.col("n") < WINDOW).distinct().collect()]
     for n in sorted(lengths):
         keys = materialize(
             items.where(F.size("iw") == n).select("item", F.xxhash64(*[F.col("iw")[j] for j in range(n)]).alias("mark")), f"bench-short-{n}"
         )
-        grams = texts.where(F.size("ws") >= n).select("row", F.explode(F.array_distinct(_gram("ws", n))).alias("mark"))
+        grams = texts.where(F.size("ws") >= n).select("row", F.explode(let(F.col("ws"), lambda w: F.array_distinct(_grams(w, n)))).alias("mark"))
         pairs = pairs.union(grams.join(keys, "mark").select("row", "item").distinct())
     pairs = materialize(pairs.distinct(), "bench-pairs")
 
@@ -82,7 +78,7 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     covered = hits.select("row", "i", "n").distinct().withColumn("new", new).groupBy("row").agg(F.sum("new").cast("long").alias("n_hit"))
     named = hits.groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
     result = materialize(covered.join(named, "row"), "bench-result")
-    counted = found.select("doc_id", "row", "n_words")
+    counted = texts.select("doc_id", "row", F.size("ws").cast("long").alias("n_words"))
     return counted.join(result, "row", "left").select(
         "row", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"),

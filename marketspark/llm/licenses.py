@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from marketspark.llm.common import lower_ascii, text_of
+from marketspark.llm.common import let, lower_ascii, text_of
 
 LEAST_PERCENT = 80
 
@@ -31,7 +31,8 @@ def normalised(line: Column) -> Column:
 
 
 def bigrams(ws: str) -> Column:
-    return F.expr(f"array_distinct(transform(sequence(0, size({ws}) - 2), i -> concat({ws}[i], ' ', {ws}[i + 1])))")
+    pair = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat(F.get(w, i), F.lit(" "), F.get(w, i + 1)))
+    return let(F.col(ws), lambda w: F.array_distinct(pair(w)))
 
 
 def license_lines(docs: DataFrame, templates: dict[str, str] = TEMPLATES, percent: int = LEAST_PERCENT) -> DataFrame:

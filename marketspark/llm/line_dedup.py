@@ -35,7 +35,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     """
     lines = lines_of(docs).where(F.col("n") >= LEAST_WORDS)
     keyed = lines.select("doc_id", "line_no", "n", F.md5(F.array_join(words(F.col("line")), " ")).alias("key"), F.array_join(words(F.col("line")), " ").alias("plain"))
-    half = lambda m: F.array(F.xxhash64(F.lit(0), m, F.substring_index("plain", " ", m)), F.xxhash64(F.lit(1), m, F.substring_index("plain", " ", -m)))
+    end = lambda m: F.call_function("substring_index", F.col("plain"), F.lit(" "), m)
+    half = lambda m: F.array(F.xxhash64(F.lit(0), m, end(m)), F.xxhash64(F.lit(1), m, end(-m)))
     m0, m1 = F.expr("int(n div 2)"), F.expr("int((n - 1) div 2)")
     first = materialize(
         keyed.withColumn("halves", F.array_distinct(F.concat(half(m0), half(m1))))
