@@ -6,11 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
-# Upper bin limits and labels of homes per street.
+# Bin limits and labels of homes per street. The last bin is open upwards, because
+# stock grows with the data.
 STOCK_BINS = (
     (0, 10, "10 homes or less per street"),
     (10, 20, "11-20 homes per street"),
-    (20, 100, "over 20 homes per street"),
+    (20, None, "over 20 homes per street"),
 )
 
 
@@ -30,8 +31,8 @@ def listing_status(sale_date: Column, under_contract: Column) -> Column:
 
 
 def street_of(address: Column) -> Column:
-    """The address without its three-digit house number and the blank after it."""
-    return F.substring(address, 5, 96)
+    """The address without its house number and the blank after it."""
+    return F.regexp_replace(address, "^[0-9]+ ", "")
 
 
 def street_label(street: Column, abbreviation: Column, unsuffixed: Sequence[str] = ()) -> Column:
@@ -43,10 +44,11 @@ def street_label(street: Column, abbreviation: Column, unsuffixed: Sequence[str]
 
 
 def bucket_stock(stock: Column) -> Column:
-    """Right-closed bins; outside all of them null."""
+    """Right-closed bins; null for no stock."""
     label = F.lit(None).cast("string")
     for low, high, text in reversed(STOCK_BINS):
-        label = F.when((stock > low) & (stock <= high), F.lit(text)).otherwise(label)
+        inside = stock > low if high is None else (stock > low) & (stock <= high)
+        label = F.when(inside, F.lit(text)).otherwise(label)
     return label
 
 
@@ -62,7 +64,7 @@ def bucket_turnover(turnover: Column, low: Column, high: Column) -> Column:
         F.when((turnover > outer) & (turnover <= inner), F.lit("low"))
         .when((turnover > inner) & (turnover <= high), F.lit("ave"))
         .when((turnover > high) & (turnover <= high * 2), F.lit("higher"))
-        .when((turnover > high * 2) & (turnover <= 1000), F.lit("high"))
+        .when(turnover > high * 2, F.lit("high"))
     )
 
 

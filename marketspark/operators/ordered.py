@@ -13,13 +13,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-MAX_SLICES = 4096
+SKETCHES = 64
 
 
 def slice_count(df: DataFrame, slices: int | None = None) -> int:
     """Requested slices, or the session's shuffle width, as a power of two."""
     wanted = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(MAX_SLICES, 1 << max(0, wanted - 1).bit_length())
+    return 1 << max(0, wanted - 1).bit_length()
 
 
 def order_slices(
@@ -32,17 +32,24 @@ def order_slices(
     """Number rows by which quantile slice of ``column`` they fall in, preserving its order.
 
     A binary search over the quantiles, one projection per step, stays inside generated code. The
-    quantiles are those of ``sample`` if given: any expression of ``df`` in the same unit.
+    quantiles are those of ``sample`` if given: any expression of ``df`` in the same unit. They are
+    taken in two steps: rows are sketched in SKETCHES groups by hash, and what one task merges in the
+    end is a table of SKETCHES times the slices, whatever the number of input splits.
     """
     count = slice_count(df, slices)
     if count == 1:
         return df.withColumn(name, F.lit(0))
     steps = [F.lit(i / count) for i in range(1, count)]
-    bounds = df.select(
-        F.percentile_approx(
-            F.col(column) if sample is None else sample, F.array(*steps), 10 * count
-        ).alias("slice_bounds")
+    sketches = (
+        df.select(
+            F.pmod(F.xxhash64(column), F.lit(SKETCHES)).alias("sketch"),
+            (F.col(column) if sample is None else sample).alias("value"),
+        )
+        .groupBy("sketch")
+        .agg(F.percentile_approx("value", F.array(*steps), 10 * count).alias("parts"))
+        .select(F.explode("parts").alias("value"))
     )
+    bounds = sketches.agg(F.percentile_approx("value", F.array(*steps), 10 * count).alias("slice_bounds"))
     df = df.crossJoin(F.broadcast(bounds)).withColumn(name, F.lit(0))  # one row of `count` numbers
     step = count // 2
     while step:
@@ -139,8 +146,9 @@ def trailing_rows(
 
     The first ``rows - 1`` rows have no full window and stay null. The table is cut into chunks by
     global row number and each chunk also receives the last rows of the one before it, so every
-    window is computed inside a chunk of known size.
+    window is computed inside a chunk of known size. A chunk is never shorter than the window.
     """
+    chunk = max(chunk, rows - 1)
     numbered = running_count(df, "row_no", days=[day], tie=tie, slices=slices)
     own = F.floor((F.col("row_no") - 1) / chunk)
     overlaps = ((F.col("row_no") - 1) % chunk) >= chunk - (rows - 1)

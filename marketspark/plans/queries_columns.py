@@ -208,8 +208,7 @@ st as (
 street_stock as (
   select case when abbreviation is null or n_name = 'NATION_3' then n_name
               else n_name || ' ' || abbreviation end as street, cast(count(*) as bigint) as stock
-  from customer join nation on n_nationkey = c_nationkey join dim on dim.category = c_mktsegment
-  where n_nationkey % 8 <> 7 group by 1),
+  from customer join nation on n_nationkey = c_nationkey join dim on dim.category = c_mktsegment group by 1),
 cnt as (select street, cast(count(*) as bigint) as listed from st group by 1),
 turn as (
   select street, stock, coalesce(listed, 0) as listed,
@@ -218,7 +217,7 @@ turn as (
               / (listed / cast(stock as double)) end as residence_time,
          case when stock > 0 and stock <= 10 then '10 homes or less per street'
               when stock > 10 and stock <= 20 then '11-20 homes per street'
-              when stock > 20 and stock <= 100 then 'over 20 homes per street' end as stock_bin
+              when stock > 20 then 'over 20 homes per street' end as stock_bin
   from street_stock left join cnt using (street)),
 lim as (
   select (select count(*) from e) / cast(sum(stock) as double)
@@ -243,14 +242,12 @@ def streets(m):
 
 
 def street_stock(m):
-    """Stock per street label; a few areas are not in the stock table."""
-    known = m.table("nation").filter(F.col("n_nationkey") % 8 != 7)
+    """Stock per street label."""
     labelled = labels.street_label(
         F.col("area"), F.col("abbreviation"), m.config.unsuffixed_areas
     )
     return (
         m.stock("area", "category")
-        .join(known.select(F.col("n_name").alias("area")), "area", "left_semi")
         .join(category_dim(m), "category")
         .groupBy(labelled.alias("street"))
         .agg(F.sum("stock").alias("stock"))
@@ -281,7 +278,7 @@ def bucket_stock(m):
         case when turnover > 0 and turnover <= lower then 'low'
              when turnover > lower and turnover <= upper then 'ave'
              when turnover > upper and turnover <= upper * 2 then 'higher'
-             when turnover > upper * 2 and turnover <= 1000 then 'high' end as turnover_label
+             when turnover > upper * 2 then 'high' end as turnover_label
         from turn, lim""",
     STREETS_SQL,
 )

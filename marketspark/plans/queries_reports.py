@@ -340,7 +340,7 @@ def agg_violin_quantiles(m):
     return quantiles.select("sale_year", "category", *[rounded(c).alias(c) for c in ("q1", "median", "q3")])
 
 
-GRID = 64
+GRID = 512
 VIOLIN_SQL = f"""
 vs as (
   select sale_year, category, count(*) as n, stddev_samp(a) as sd, min(a) as lo, max(a) as hi,

@@ -396,14 +396,19 @@ def win_rolling_mean(m):
     "win_locf",
     f"""select listing_year, listing_month,
         {sql_rounded('last_value(a ignore nulls) over (partition by listing_year order by listing_month)')} as average_price
-        from (select listing_year, listing_month,
-              avg(amount) filter (where category = 'BUILDING' and area = 'NATION_1') as a from e group by 1, 2)""",
+        from (select y.listing_year, cast(y.listing_month as int) as listing_month, a
+              from (select listing_year, unnest(range(1, 13)) as listing_month from (select distinct listing_year from e)) y
+              left join (select listing_year, listing_month, avg(amount) as a from e group by 1, 2) m
+                on m.listing_year = y.listing_year and m.listing_month = y.listing_month)""",
 )
 def win_locf(m):
-    here = (F.col("category") == "BUILDING") & (F.col("area") == "NATION_1")
-    monthly = m.listings.groupBy("listing_year", "listing_month").agg(
-        F.avg(F.when(here, F.col("amount").cast("double"))).alias("average_price")
+    average = m.listings.groupBy("listing_year", "listing_month").agg(
+        F.avg(F.col("amount").cast("double")).alias("average_price")
     )
+    months = m.listings.select("listing_year").distinct().withColumn(
+        "listing_month", F.explode(F.sequence(F.lit(1), F.lit(12)))
+    )
+    monthly = months.join(average, ["listing_year", "listing_month"], "left")
     return carry_forward(
         monthly, "average_price", groups=["listing_year"], order="listing_month"
     ).withColumn("average_price", rounded("average_price"))

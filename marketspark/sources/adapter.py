@@ -12,15 +12,10 @@ def listings_from_orders(
 ) -> DataFrame:
     """One row per order.
 
-    The line items collapse to the distinct ship dates of their order before the join. That set is
-    combined map-side and bounded by the calendar, so an order with a huge number of lines cannot
-    overload a task, and both sides of the join are already partitioned by order key.
+    Line items meet their order by its key if they ship no earlier, and the least ship date is a
+    hash aggregate on the partitioning of that join.
     """
-    ship_dates = (
-        lineitem.select("l_orderkey", F.to_date("l_shipdate").alias("ship_date"))
-        .groupBy("l_orderkey")
-        .agg(F.collect_set("ship_date").alias("ship_dates"))
-    )
+    shipped = lineitem.select("l_orderkey", F.to_date("l_shipdate").alias("ship_date"))
     listed = orders.select(
         F.col("o_orderkey").alias("listing_id"),
         F.col("o_custkey").alias("entity_id"),
@@ -33,10 +28,11 @@ def listings_from_orders(
         F.col("c_mktsegment").alias("category"),
         F.col("c_nationkey").alias("n_nationkey"),
     ).join(nation.select("n_nationkey", F.col("n_name").alias("area")), "n_nationkey")
-    first_sale = F.array_min(F.filter("ship_dates", lambda d: d >= F.col("listing_date")))
+    in_time = (F.col("listing_id") == F.col("l_orderkey")) & (F.col("ship_date") >= F.col("listing_date"))
     return (
-        listed.join(ship_dates, F.col("listing_id") == F.col("l_orderkey"), "left")
-        .withColumn("sale_date", first_sale)
+        listed.join(shipped, in_time, "left")
+        .groupBy(*listed.columns)
+        .agg(F.min("ship_date").alias("sale_date"))
         .join(owner, "entity_id")
         .select(
             "listing_id",

@@ -1,5 +1,7 @@
 """Expected values of a small home market, as published with its listings.
 
+Fixed values: these rows are published results that both tie rules and the trailing year must match.
+
 Columns: listed, sold, amount, category, inventory after the listing, listings so far in the year,
 sales in the 365 days before, months of inventory. Rows are in listing order; later listings do not
 change earlier values.
