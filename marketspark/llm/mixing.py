@@ -31,7 +31,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
         F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
     )
     per = per.withColumn("level", level)
-    fits = F.min(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level"))).over(whole)
+    # From the first source that the level fits on, later levels only fall.
+    fits = F.max(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level"))).over(whole)
     target = F.least(F.col("cap"), F.coalesce(fits * F.col("weight"), F.col("cap")))
     return per.select("source", "source_size", target.alias("target")).withColumn(
         "rate", F.when(F.col("source_size") > 0, F.least(F.lit(most), F.col("target") / F.col("source_size"))).otherwise(0.0)
@@ -76,7 +77,7 @@ w as (select *, [3.0,1.0,2.0][((row_number() over (order by source nulls last) -
              source_size * 2.0::double as cap from p),
 l as (select *, (sum(source_size) over () * 1.5::double - coalesce(sum(cap) over b, 0)) / (sum(weight) over () - coalesce(sum(weight) over b, 0)) as level
       from w window b as (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding)),
-t as (select source, source_size, least(cap, coalesce(min(case when level <= cap / weight then level end) over () * weight, cap)) as target from l),
+t as (select source, source_size, least(cap, coalesce(max(case when level <= cap / weight then level end) over () * weight, cap)) as target from l),
 r as (select *, case when source_size > 0 then least(2.0::double, target / source_size) else 0 end as rate from t)
 select d.doc_id, d.size, r.source_size, r.target,
        cast(d.size * (floor(rate) + case when ('0x' || substr(md5(coalesce(cast(doc_id as varchar),'')),1,12))::bigint::double / 281474976710656.0::double < rate - floor(rate) then 1 else 0 end) as bigint) as taken
