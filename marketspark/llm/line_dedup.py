@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from marketspark.llm.common import text_of, words
+from marketspark.llm.common import let, text_of, words
 from marketspark.sources.snapshot import materialize
 
 LEAST_WORDS = 8  # shorter lines are never dropped: one edit would make most of them alike
@@ -19,68 +19,76 @@ def _same_ends(a: str, b: str) -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """``(doc_id, line_no, line, n)`` of every line; null text has one empty line."""
-    split = docs.select("doc_id", F.posexplode(F.split(text_of(), "\n")).alias("line_no", "line"))
-    return split.withColumn("n", F.size(words(F.col("line"))))
+    """``(doc_id, line_no, plain, n)`` of every line: its words joined by a space, and how many.
 
+    Null text has one empty line. Words are split inside the generator, so once per line.
+    """
+    seen = lambda x: let(words(x), lambda w: F.struct(F.array_join(w, " ").alias("plain"), F.size(w).alias("n")))
+    split = docs.select("doc_id", F.posexplode(F.transform(F.split(text_of(), "\n"), seen)).alias("line_no", "line"))
+    return split.select("doc_id", "line_no", "line.plain", "line.n")
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
-    """``(key)`` and ``(doc_id, line_no)`` of its earliest place for each distinct line, with
-    ``near``: whether an earlier line is within one word of it.
 
-    Lines are compared as word sequences. Equal lines meet first, by a grouped minimum. One edit
-    leaves the first or the last half of the words as they are, so only distinct lines that share a
-    half with another go on; for those, each deletion of one word, and the line itself, is a key,
-    and lines with an equal key have their distance verified.
+def _key() -> Column:
+    return F.unhex(F.md5("plain"))
+
+
+def repeated_lines(docs: DataFrame) -> DataFrame:
+    """``(key, at, near)`` of each distinct line that stands twice or is near an earlier line.
+
+    ``at`` is the earliest place and names the line from then on; ``near`` says whether an earlier
+    line is within one word of it. Lines are compared as word sequences. Equal lines meet first, by
+    a grouped minimum. One edit between a line of N words and one of N or N - 1 leaves the first
+    N div 2 words or the remaining ones as they are, so only distinct lines that share such a part,
+    for the same N, go on; for those, each deletion of one word, and the line itself, is a key, and
+    lines with an equal key have their distance verified.
     """
     lines = lines_of(docs).where(F.col("n") >= LEAST_WORDS)
-    keyed = lines.select("doc_id", "line_no", "n", F.md5(F.array_join(words(F.col("line")), " ")).alias("key"), F.array_join(words(F.col("line")), " ").alias("plain"))
     end = lambda m: F.call_function("substring_index", F.col("plain"), F.lit(" "), m)
-    half = lambda m: F.array(F.xxhash64(F.lit(0), m, end(m)), F.xxhash64(F.lit(1), m, end(-m)))
-    m0, m1 = F.expr("int(n div 2)"), F.expr("int((n - 1) div 2)")
+    ahead = lambda longer: F.floor(longer / 2).cast("int")
+    parts = lambda longer: (F.xxhash64(longer, end(ahead(longer))), F.xxhash64(-longer, end(ahead(longer) - longer)))
     first = materialize(
-        keyed.withColumn("halves", F.array_distinct(F.concat(half(m0), half(m1))))
-        .groupBy("key").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.max("n").alias("n"), F.max("halves").alias("halves")),
+        lines.select(_key().alias("key"), "doc_id", "line_no", F.array(*parts(F.col("n")), *parts(F.col("n") + 1)).alias("parts"))
+        .groupBy("key").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count("*").alias("times"), F.max("parts").alias("parts")),
         "line-first",
     )
-    halves = first.select("key", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").count().where("count > 1").select("half")
-    chosen = materialize(halves.join(shared, "half").select("key").distinct().join(first.select("key", "at"), "key"), "line-chosen")
-    place = chosen.select("key", F.col("at.doc_id").alias("doc_id"), F.col("at.line_no").alias("line_no"))
+    halves = first.select("at", F.explode("parts").alias("part"))
+    shared = halves.groupBy("part").count().where("count > 1").select("part")
+    chosen = materialize(halves.join(shared, "part").select("at").distinct(), "line-chosen")
+    place = chosen.select(F.col("at.doc_id").alias("doc_id"), F.col("at.line_no").alias("line_no"))
     texts = materialize(
-        lines.select("doc_id", "line_no", "line").join(place, ["doc_id", "line_no"]).dropDuplicates(["key"]).select("key", words(F.col("line")).alias("ws")),
+        lines.select("doc_id", "line_no", "plain").join(place, ["doc_id", "line_no"]).dropDuplicates(["doc_id", "line_no"])
+        .select(F.struct("doc_id", "line_no").alias("at"), F.split("plain", " ").alias("ws")),
         "line-texts",
     )
-    word = texts.select("key", F.posexplode("ws").alias("i", "w")).select("key", "i", F.xxhash64("w", "i").alias("here"), F.xxhash64("w", F.col("i") - 1).alias("moved"))
-    whole = Window.partitionBy("key")
+    word = texts.select("at", F.posexplode("ws").alias("i", "w")).select("at", "i", F.xxhash64("w", "i").alias("here"), F.xxhash64("w", F.col("i") - 1).alias("moved"))
+    whole = Window.partitionBy("at")
     upto = whole.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     variants = word.select(
-        "key",
+        "at",
         F.expr("bit_xor(here)").over(upto).bitwiseXOR(F.col("here")).bitwiseXOR(F.expr("bit_xor(moved)").over(whole)).bitwiseXOR(F.expr("bit_xor(moved)").over(upto)).alias("v"),
-    ).union(word.groupBy("key").agg(F.expr("bit_xor(here)").alias("v"))).distinct()
-    # Per key the earliest line meets the rest, then each line its nearest earlier ones.
-    there = materialize(variants.join(chosen, "key"), "line-variants")
-    lead = there.groupBy("v").agg(F.min("at").alias("lead"), F.count("*").alias("k")).where("k > 1")
-    pairs = there.join(lead, "v").where("at > lead").select("key", F.col("lead").alias("other")).distinct()
-    known = chosen.select(F.col("key").alias("okey"), F.col("at").alias("other"))
+    ).union(word.groupBy("at").agg(F.expr("bit_xor(here)").alias("v")))
+    # Per variant the earliest line meets the rest, then each line that this leaves open the earlier ones.
+    there = materialize(variants.distinct(), "line-variants")
+    lead = materialize(there.groupBy("v").agg(F.min("at").alias("lead"), F.count("*").alias("k")).where("k > 1").select("v", "lead"), "line-leads")
+    met = materialize(there.join(lead, "v").where("at > lead"), "line-met")
 
-    def verified(p: DataFrame, name: str) -> DataFrame:
-        both = p.join(known, "other").join(texts.select("key", F.col("ws").alias("wa")), "key").join(texts.select(F.col("key").alias("okey"), F.col("ws").alias("wb")), "okey")
-        return materialize(both.where(_same_ends("wa", "wb")).select("key").distinct(), name)
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        both = pairs.join(texts.select("at", F.col("ws").alias("wa")), "at").join(texts.select(F.col("at").alias("other"), F.col("ws").alias("wb")), "other")
+        return materialize(both.where(_same_ends("wa", "wb")).select("at").distinct(), name)
 
-    near = verified(pairs, "line-near")
-    # A line that its key's earliest line does not settle meets all earlier lines of the key.
-    open_ = there.join(lead, "v").where("at > lead").join(near, "key", "left_anti").select("v", "key", "at")
-    more = open_.join(there.select("v", F.col("at").alias("other")), "v").where("other < at").select("key", "other").distinct().exceptAll(pairs.distinct())
-    near = near.union(verified(more, "line-more")).distinct()
-    return first.select("key", "at").join(near.withColumn("near", F.lit(True)), "key", "left").select("key", "at", F.coalesce("near", F.lit(False)).alias("near"))
+    near = verified(met.select("at", F.col("lead").alias("other")).distinct(), "line-near")
+    open_ = met.join(near, "at", "left_anti").select("v", "at")
+    more = open_.join(there.select("v", F.col("at").alias("other")), "v").where("other < at").select("at", "other").distinct()
+    near = near.union(verified(more, "line-more")).withColumn("near", F.lit(True))
+    found = first.select("key", "at", "times").join(near, "at", "left").select("key", "at", "times", F.coalesce("near", F.lit(False)).alias("near"))
+    return found.where((F.col("times") > 1) | F.col("near")).select("key", "at", "near")
 
 
 def line_decisions(docs: DataFrame) -> DataFrame:
     """``(doc_id, line_no, n, kept)`` per line: dropped if an earlier line (by document id, then
     line number) equals it or differs in one word. Lines under LEAST_WORDS words stay."""
     found = materialize(repeated_lines(docs), "line-found")
-    lines = lines_of(docs).withColumn("key", F.when(F.col("n") >= LEAST_WORDS, F.md5(F.array_join(words(F.col("line")), " "))))
+    lines = lines_of(docs).select("doc_id", "line_no", "n", F.when(F.col("n") >= LEAST_WORDS, _key()).alias("key"))
     joined = lines.join(found.select(F.col("key").alias("k"), "at", "near"), F.col("key") == F.col("k"), "left")
     earliest = (F.col("at.doc_id") == F.col("doc_id")) & (F.col("at.line_no") == F.col("line_no"))
     return joined.select("doc_id", "line_no", "n", (F.col("k").isNull() | (earliest & ~F.col("near"))).alias("kept"))
