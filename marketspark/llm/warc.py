@@ -41,8 +41,10 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     joined = inside.join(carried, (F.col("canonical") == F.col("c")) & F.col("slice").eqNullSafe(F.col("s")), "left")
     of = F.when(F.col("near.record_id").isNotNull(), F.col("near.record_id")).otherwise(F.col("far.record_id"))
     asked = joined.withColumn("of", F.when((F.col("kind") == "revisit") & F.col("at").isNotNull(), of))
-    bodies = r.where("full is not null").dropDuplicates(["record_id"]).select(F.col("record_id").alias("of"), F.col("headers").alias("base"), F.col("body_chars").alias("base_chars"))
-    found = asked.join(bodies, "of", "left")
+    bodies = r.where("full is not null").dropDuplicates(["record_id"]).select(F.col("record_id").cast("string").alias("body_key"), F.col("headers").alias("base"), F.col("body_chars").alias("base_chars"))
+    # Records that ask for no body get a key of their own: as nulls they would all meet in one task.
+    asked = asked.withColumn("of_key", F.coalesce(F.col("of").cast("string"), F.concat_ws(" ", F.lit("none"), F.col("record_id").cast("string"))))
+    found = asked.join(bodies, F.col("of_key") == F.col("body_key"), "left")
     tag = lambda h: F.regexp_replace(F.element_at(h, "etag"), "^W/", "")
     same = F.coalesce(
         F.when(tag(F.col("headers")).isNotNull(), tag(F.col("headers")) == tag(F.col("base"))).otherwise(F.element_at("headers", "last-modified") == F.element_at("base", "last-modified")),
