@@ -42,7 +42,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     for the same N, go on; for those, each deletion of one word, and the line itself, is a key, and
     lines with an equal key have their distance verified.
     """
-    lines = lines_of(docs).where(F.col("n") >= LEAST_WORDS)
+    lines = lines_of(docs).where((F.col("n") >= LEAST_WORDS) & F.col("doc_id").isNotNull())
     end = lambda m: F.call_function("substring_index", F.col("plain"), F.lit(" "), m)
     ahead = lambda longer: F.floor(longer / 2).cast("int")
     parts = lambda longer: (F.xxhash64(longer, end(ahead(longer))), F.xxhash64(-longer, end(ahead(longer) - longer)))
@@ -86,9 +86,10 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
 def line_decisions(docs: DataFrame) -> DataFrame:
     """``(doc_id, line_no, n, kept)`` per line: dropped if an earlier line (by document id, then
-    line number) equals it or differs in one word. Lines under LEAST_WORDS words stay."""
+    line number) equals it or differs in one word. Lines under LEAST_WORDS words stay, and so do the
+    lines of rows without an id, which have no place in that order and stand for no other line."""
     found = materialize(repeated_lines(docs), "line-found")
-    lines = lines_of(docs).select("doc_id", "line_no", "n", F.when(F.col("n") >= LEAST_WORDS, _key()).alias("key"))
+    lines = lines_of(docs).select("doc_id", "line_no", "n", F.when((F.col("n") >= LEAST_WORDS) & F.col("doc_id").isNotNull(), _key()).alias("key"))
     joined = lines.join(found.select(F.col("key").alias("k"), "at", "near"), F.col("key") == F.col("k"), "left")
     earliest = (F.col("at.doc_id") == F.col("doc_id")) & (F.col("at.line_no") == F.col("line_no"))
     return joined.select("doc_id", "line_no", "n", (F.col("k").isNull() | (earliest & ~F.col("near"))).alias("kept"))

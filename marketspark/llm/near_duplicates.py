@@ -127,9 +127,13 @@ query = near_duplicate_classes
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The row of each class whose id names it; a repeated row stays as often as it is there."""
-    kept = near_duplicate_classes(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(materialize(kept, "near-kept"), docs["doc_id"] == F.col("kept_id"), "left_semi")
+    """``docs`` without the rows whose class is named by another id.
+
+    A repeated row stays as often as it is there, and so do rows without an id, as nothing names
+    them. What is joined are the ids that go.
+    """
+    gone = near_duplicate_classes(docs).where("doc_id is not null").groupBy(F.col("doc_id").alias("gone_id")).agg(F.max("component_id").alias("root")).where("root < gone_id")
+    return docs.join(materialize(gone.select("gone_id"), "near-gone"), docs["doc_id"] == F.col("gone_id"), "left_anti")
 
 
 SQL = r"""

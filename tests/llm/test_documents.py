@@ -45,6 +45,16 @@ def test_near_duplicates_match_all_pairs(docs, none):
     assert near_duplicates.query(none).count() == 0
 
 
+def test_rows_without_an_id_stay(spark, docs):
+    """They are neither dropped nor a reason to drop; documents with ids are judged as without them."""
+    line = "one two three four five six seven eight nine"
+    rows = [(None, BASE), (None, f"{line}\n{line}"), (1, BASE), (2, BASE), (3, line), (4, f"{line}\nown words")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in near_duplicates.keep_one(d).collect()) == sorted((i or 0, t) for i, t in rows if i != 2)
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in line_dedup.dedup(d).collect())
+    assert got == sorted([(0, BASE), (0, f"{line}\n{line}"), (1, BASE), (3, line), (4, "own words")])
+
+
 def test_decontamination_finds_planted_and_short_items(spark, docs, none):
     bench = spark.createDataFrame([(1, " ".join(f"W{i}" for i in range(20, 40))), (2, "two words"), (3, None), (4, "w1 w3")], "item_id long, text string")
     got = by_id(contamination.query(docs, bench))
