@@ -14,11 +14,14 @@ from marketspark.sources.snapshot import materialize
 
 PERCENT = 80
 COMMON = 32  # a shingle in more prefixes than this counts as common and is ordered last
+MOST_SENT = 1_000_000  # ids of candidate texts that are broadcast at most
 MOST_COMMON = 65_536  # so many at most; which ones are common changes the work, never the result
 
 
-def _sets(docs: DataFrame, hot, percent: int, with_set: bool = False) -> DataFrame:
-    kind = "values array<long>" if with_set else "sig string, bits array<long>, head array<long>"
+def _sets(docs: DataFrame, hot, percent: int, want: str) -> DataFrame:
+    """``doc_id``, the size ``n`` and, as ``want`` says, of each set: ``names``, ``tiles`` or ``values``."""
+    kind = {"names": "sig string, head array<long>", "tiles": "bits array<long>, head array<long>", "values": "values array<long>"}[want]
+    columns = ["doc_id", "n", *[c.split()[0] for c in kind.split(", ")]]
 
     def run(batches):
         common = np.array(hot.value, np.int64) if hot is not None else np.empty(0, np.int64)
@@ -26,11 +29,11 @@ def _sets(docs: DataFrame, hot, percent: int, with_set: bool = False) -> DataFra
             rows = []
             for i, t in zip(batch["doc_id"], batch["text"]):
                 s = shingle_set(t)
-                if with_set:
+                if want == "values":
                     rows.append((i, len(s), s))
                 else:
-                    rows.append((i, len(s), hashlib.md5(s.tobytes()).hexdigest(), bitmap(s), prefix(s, common, percent)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", *(["values"] if with_set else ["sig", "bits", "head"])])
+                    rows.append((i, len(s), hashlib.md5(s.tobytes()).hexdigest() if want == "names" else bitmap(s), prefix(s, common, percent)))
+            yield pd.DataFrame(rows, columns=columns)
 
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id long, n long, {kind}")
 
@@ -43,22 +46,29 @@ def _verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, percent: int,
     """The pairs ``(a, b)`` that are links.
 
     Sizes, then bits of one bitmap missing in the other, bound the overlap from above; what is left
-    meets its sorted sets.
+    meets its sorted sets. Sizes within the bound give bitmaps of one width, or one twice the other
+    (``percent`` of 50 or more), which is then folded.
     """
     small = heads.select("id", "n", "bits")
     a = small.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
     b = small.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
+    wide = lambda x: (F.size(x) / 2).cast("int")
+    half = lambda x: F.zip_with(F.slice(x, 1, wide(x)), F.slice(x, wide(x) + 1, wide(x)), lambda p, q: p.bitwiseOR(q))
+    fit = lambda x, y: F.when(F.size(x) > F.size(y), half(x)).otherwise(F.col(x))
     miss = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, v: s + v)
-    bound = F.least(F.col("na") - miss("ba", "bb"), F.col("nb") - miss("bb", "ba"))
+    bound = F.least(F.col("na") - miss("fa", "fb"), F.col("nb") - miss("fb", "fa"))
     left = materialize(
         pairs.join(a, "a").join(b, "b")
-        .where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & _similar(bound, percent))
+        .where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+        .withColumns({"fa": fit("ba", "bb"), "fb": fit("bb", "ba")}).where(_similar(bound, percent))
         .select("a", "b", "na", "nb"),
         f"{name}-left",
     )
-    ids = left.select(F.col("a").alias("id")).union(left.select("b")).distinct()
-    texts = docs.select("doc_id", "text").join(ids.hint("shuffle_hash"), F.col("doc_id") == F.col("id"), "left_semi")
-    sets = materialize(_sets(texts, None, percent, True).dropDuplicates(["doc_id"]), f"{name}-sets")
+    ids = materialize(left.select(F.col("a").alias("id")).union(left.select("b")).distinct(), f"{name}-ids")
+    # Few ids are sent to the texts; more of them meet the texts by a shuffle.
+    ids = F.broadcast(ids) if ids.count() <= MOST_SENT else ids.hint("shuffle_hash")
+    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("id"), "left_semi")
+    sets = materialize(_sets(texts, None, percent, "values").dropDuplicates(["doc_id"]), f"{name}-sets")
     exact = (
         left.join(sets.select(F.col("doc_id").alias("a"), F.col("values").alias("va")), "a")
         .join(sets.select(F.col("doc_id").alias("b"), F.col("values").alias("vb")), "b")
@@ -78,7 +88,7 @@ def near_duplicate_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame
     copies costs one comparison each.
     """
     spark = docs.sparkSession
-    first = materialize(_sets(docs, None, percent), "near-first")
+    first = materialize(_sets(docs, None, percent, "names"), "near-first")
     reps = first.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("id"))
     reps = materialize(reps, "near-reps")
     count = (
@@ -87,10 +97,7 @@ def near_duplicate_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame
         .where(F.col("count") > COMMON).orderBy(F.desc("count"), "token").limit(MOST_COMMON)
     )
     hot = sorted(r.token for r in count.select("token").collect())
-    if hot:
-        second = _sets(docs, spark.sparkContext.broadcast(hot), percent)
-    else:
-        second = first
+    second = _sets(docs, spark.sparkContext.broadcast(hot), percent, "tiles")
     heads = materialize(
         second.join(reps.select("id"), F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "n", "bits", "head").dropDuplicates(["id"]),
         "near-heads",

@@ -6,7 +6,8 @@ import numpy as np
 import xxhash
 
 WIDTH = 5
-BITMAP_LONGS = 16
+BITMAP_LONGS = 16  # at least; a larger set has the next power of two with a bit for each hash
+TOKEN_SHIFT = 16  # tiles are keyed by the upper 48 bits of a hash
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -30,13 +31,17 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITMAP_LONGS * 64, np.uint8)
+    """One bit per hash by its low bits, so OR-ing the halves of a bitmap gives the one of half the width."""
+    longs = BITMAP_LONGS
+    while longs * 64 < len(s):
+        longs *= 2
+    bits = np.zeros(longs * 64, np.uint8)
     bits[(s.view(np.uint64) >> np.uint64(7)) % np.uint64(len(bits))] = 1
     return np.packbits(bits).view(np.int64)
 
 
 def prefix(s: np.ndarray, hot: np.ndarray, percent: int) -> np.ndarray:
-    """The first n - ceil(percent n / 100) + 1 hashes, common ones (``hot``, sorted) last.
+    """Tokens of the first n - ceil(percent n / 100) + 1 hashes, common ones (``hot``, sorted) last.
 
     Two sets at or over the similarity share one of these, whatever the order, as long as it is one
     order for all sets.
@@ -45,7 +50,8 @@ def prefix(s: np.ndarray, hot: np.ndarray, percent: int) -> np.ndarray:
     if not n:
         return s
     keep = n - -(-percent * n // 100) + 1
+    tokens = s >> TOKEN_SHIFT
     if not len(hot):
-        return s[:keep]
-    common = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s
-    return np.concatenate([s[~common], s[common]])[:keep]
+        return np.unique(tokens[:keep])
+    common = hot[np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)] == tokens
+    return np.unique(np.concatenate([tokens[~common], tokens[common]])[:keep])
