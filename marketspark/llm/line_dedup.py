@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from marketspark.llm.common import let, text_of, words
 from marketspark.sources.snapshot import materialize
 
-LEAST_WORDS = 8  # shorter lines are never dropped: one edit would make most of them alike
+LEAST_WORDS = 8  # shorter lines never drop for one edit, which would make most of them alike
+ANY_WORDS = 1  # least words of equal lines that drop where equal lines of every length are to go
 
 
 def _same_ends(a: str, b: str) -> Column:
@@ -32,7 +33,7 @@ def _key() -> Column:
     return F.unhex(F.md5("plain"))
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
+def repeated_lines(docs: DataFrame, equal_from: int = LEAST_WORDS) -> DataFrame:
     """``(key, at, near)`` of each distinct line that stands twice or is near an earlier line.
 
     ``at`` is the earliest place and names the line from then on; ``near`` says whether an earlier
@@ -40,14 +41,15 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     a grouped minimum. One edit between a line of N words and one of N or N - 1 leaves the first
     N div 2 words or the remaining ones as they are, so only distinct lines that share such a part,
     for the same N, go on; for those, each deletion of one word, and the line itself, is a key, and
-    lines with an equal key have their distance verified.
+    lines with an equal key have their distance verified. Lines of ``equal_from`` to LEAST_WORDS - 1
+    words have no parts: they end at the grouped minimum.
     """
-    lines = lines_of(docs).where((F.col("n") >= LEAST_WORDS) & F.col("doc_id").isNotNull())
+    lines = lines_of(docs).where((F.col("n") >= equal_from) & F.col("doc_id").isNotNull())
     end = lambda m: F.call_function("substring_index", F.col("plain"), F.lit(" "), m)
     ahead = lambda longer: F.floor(longer / 2).cast("int")
     parts = lambda longer: (F.xxhash64(longer, end(ahead(longer))), F.xxhash64(-longer, end(ahead(longer) - longer)))
     first = materialize(
-        lines.select(_key().alias("key"), "doc_id", "line_no", F.array(*parts(F.col("n")), *parts(F.col("n") + 1)).alias("parts"))
+        lines.select(_key().alias("key"), "doc_id", "line_no", F.when(F.col("n") >= LEAST_WORDS, F.array(*parts(F.col("n")), *parts(F.col("n") + 1))).alias("parts"))
         .groupBy("key").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count("*").alias("times"), F.max("parts").alias("parts")),
         "line-first",
     )
@@ -84,25 +86,26 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return found.where((F.col("times") > 1) | F.col("near")).select("key", "at", "near")
 
 
-def line_decisions(docs: DataFrame) -> DataFrame:
+def line_decisions(docs: DataFrame, equal_from: int = LEAST_WORDS) -> DataFrame:
     """``(doc_id, line_no, n, kept)`` per line: dropped if an earlier line (by document id, then
-    line number) equals it or differs in one word. Lines under LEAST_WORDS words stay, and so do the
-    lines of rows without an id, which have no place in that order and stand for no other line."""
-    found = materialize(repeated_lines(docs), "line-found")
-    lines = lines_of(docs).select("doc_id", "line_no", "n", F.when((F.col("n") >= LEAST_WORDS) & F.col("doc_id").isNotNull(), _key()).alias("key"))
+    line number) equals it or differs in one word. Equal lines drop from ``equal_from`` words on, one
+    edit counts from LEAST_WORDS words on. The lines of rows without an id stay; they have no place
+    in that order and stand for no other line."""
+    found = materialize(repeated_lines(docs, equal_from), "line-found")
+    lines = lines_of(docs).select("doc_id", "line_no", "n", F.when((F.col("n") >= equal_from) & F.col("doc_id").isNotNull(), _key()).alias("key"))
     joined = lines.join(found.select(F.col("key").alias("k"), "at", "near"), F.col("key") == F.col("k"), "left")
     earliest = (F.col("at.doc_id") == F.col("doc_id")) & (F.col("at.line_no") == F.col("line_no"))
     return joined.select("doc_id", "line_no", "n", (F.col("k").isNull() | (earliest & ~F.col("near"))).alias("kept"))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, equal_from: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with dropped lines cut from ``text`` and ``n_chars`` set anew.
 
     A document without dropped lines stays as it is, null and empty ones too. One that loses lines
     and has no word left goes: every line of it stands elsewhere.
     """
     cut = materialize(
-        line_decisions(docs).where(~F.col("kept")).groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("cut_lines")), "line-cuts"
+        line_decisions(docs, equal_from).where(~F.col("kept")).groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("cut_lines")), "line-cuts"
     ).withColumnRenamed("doc_id", "cut_id")
     new = F.array_join(F.filter(F.split(text_of(), "\n"), lambda x, i: ~F.array_contains("cut_lines", i)), "\n")
     joined = docs.join(cut, docs["doc_id"] == cut["cut_id"], "left").withColumn("new_text", F.when(F.col("cut_lines").isNull(), F.col("text")).otherwise(new))
@@ -111,13 +114,18 @@ def dedup(docs: DataFrame) -> DataFrame:
     return left.select(*out)
 
 
-def query(docs: DataFrame) -> DataFrame:
+def query(docs: DataFrame, equal_from: int = LEAST_WORDS) -> DataFrame:
     """Per document: its lines, how many of them are dropped and kept."""
-    return line_decisions(docs).groupBy("doc_id").agg(
+    return line_decisions(docs, equal_from).groupBy("doc_id").agg(
         F.count("*").alias("n_lines"), F.sum(F.when(F.col("kept"), 0).otherwise(1)).cast("long").alias("n_dropped"), F.sum(F.when(F.col("kept"), F.col("n")).otherwise(0)).cast("long").alias("n_words_kept")
     )
 
 
+def query_any_length(docs: DataFrame) -> DataFrame:
+    """As ``query``, but equal lines of every length of one word or more drop."""
+    return query(docs, ANY_WORDS)
+
+
 SQL = r"""
 with l as (select doc_id, unnest(range(len(s))) as line_no, unnest(s) as line from (select doc_id, string_split(coalesce(text,''), chr(10)) as s from documents)),
 w as (select doc_id, line_no, list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from l),
