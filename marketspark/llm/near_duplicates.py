@@ -77,16 +77,8 @@ def _verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, percent: int,
     return materialize(exact.select("a", "b"), f"{name}-links")
 
 
-def near_duplicate_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)``, one row per row of ``docs``.
-
-    ``doc_id`` names a text: rows repeated in full are one document. Null, empty and wordless texts
-    have the empty set and are alone. Equal sets collapse to the least id first, so a group of copies
-    of any size is one set here. A tile is a rare shingle that sets of compatible size have in their
-    prefix. Per tile, members first meet its least member; only members that this leaves in
-    different components meet each other, the fewer against the rest, so a large group of near
-    copies costs one comparison each.
-    """
+def _heads(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Each row's set by name, the least id of each set, and size, bitmap and prefix of that id's set."""
     spark = docs.sparkSession
     first = materialize(_sets(docs, None, percent, "names"), "near-first")
     reps = first.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("id"))
@@ -102,6 +94,20 @@ def near_duplicate_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame
         second.join(reps.select("id"), F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "n", "bits", "head").dropDuplicates(["id"]),
         "near-heads",
     )
+    return first, reps, heads
+
+
+def near_duplicate_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``(doc_id, n_shingles, component_id)``, one row per row of ``docs``.
+
+    ``doc_id`` names a text: rows repeated in full are one document. Null, empty and wordless texts
+    have the empty set and are alone. Equal sets collapse to the least id first, so a group of copies
+    of any size is one set here. A tile is a rare shingle that sets of compatible size have in their
+    prefix. Per tile, members first meet its least member; only members that this leaves in
+    different components meet each other, the fewer against the rest, so a large group of near
+    copies costs one comparison each.
+    """
+    first, reps, heads = _heads(docs, percent)
     entries = heads.select("id", F.explode("head").alias("token"))
     lead = materialize(
         entries.groupBy("token").agg(F.min("id").alias("pivot"), F.count("*").alias("k")).where("k > 1").drop("k"), "near-tiles"
@@ -133,6 +139,30 @@ def near_duplicate_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame
 query = near_duplicate_classes
 
 
+def linked_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``near_duplicate_classes`` and ``n_links``: how many other sets are linked to the row's set.
+
+    All links are verified, not only those that make the components: every pair of a tile whose sizes
+    are compatible is a candidate once. Candidates grow with the square of a group of near copies;
+    copies with equal sets are one. A set that only rows without an id have is not compared.
+    """
+    first, reps, heads = _heads(docs, percent)
+    entries = materialize(heads.select("id", "n", F.explode("head").alias("token")), "near-entries")
+    a = entries.select("token", F.col("id").alias("a"), F.col("n").alias("na"))
+    b = entries.select("token", F.col("id").alias("b"), F.col("n").alias("nb"))
+    fits = (F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    pairs = materialize(a.join(b, "token").where(fits).select("a", "b").distinct(), "near-pairs")
+    links = _verified(pairs, heads, docs, percent, "near-all")
+    ends = links.select(F.col("a").alias("end")).union(links.select("b")).groupBy("end").agg(F.count("*").alias("links"))
+    root = components(links, "near-all-roots")
+    ids = reps.join(root, F.col("id") == F.col("node"), "left").join(ends, F.col("id") == F.col("end"), "left")
+    ids = ids.select("sig", F.coalesce("root", "id").alias("component_id"), F.when(F.col("id").isNotNull(), F.coalesce("links", F.lit(0))).alias("links"))
+    return first.join(ids, (first["sig"] == ids["sig"]) & (first["n"] > 0), "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
+        F.when(F.col("n") == 0, 0).otherwise(F.col("links")).cast("long").alias("n_links"),
+    )
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows whose class is named by another id.
 

@@ -19,6 +19,7 @@ QUERIES = {
     "op5_line_dedup_any_length": _over(line_dedup.query_any_length, "documents"),
     "op6_secret_scan": _over(secrets.query, "documents"),
     "op7_ngram_jaccard": _over(near_duplicates.query, "documents"),
+    "op7_ngram_links": _over(near_duplicates.linked_classes, "documents"),
     "op8_license_scan": _over(licenses.query, "documents"),
     "op9_decontaminate": _over(contamination.query, "documents", "benchmark"),
     "op10_toxicity": _over(toxicity.query, "documents", "labels"),
