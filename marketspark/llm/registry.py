@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marketspark.llm import contamination, html_text, licenses, line_dedup, mixing, near_duplicates, quality, secrets, toxicity, warc
+from marketspark.llm import contamination, html_text, licenses, line_dedup, mixing, near_duplicates, quality, secrets, token_counts, toxicity, warc
 from marketspark.llm.common import table
 
 
@@ -23,9 +23,10 @@ QUERIES = {
     "op8_license_scan": _over(licenses.query, "documents"),
     "op9_decontaminate": _over(contamination.query, "documents", "benchmark"),
     "op10_toxicity": _over(toxicity.query, "documents", "labels"),
+    "op11_token_counts": _over(token_counts.query, "documents"),
 }
 
-# Forest, page parser, ledger and classifier have no SQL form; tests compare them by brute force.
+# Forest, page parser, ledger, classifier and tokenizer have no SQL form.
 ORACLES = {
     "op2_mix_sources": mixing.SQL,
     "op4_warc_revisits": warc.SQL,
