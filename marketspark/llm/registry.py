@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marketspark.llm import contamination, html_text, licenses, line_dedup, mixing, near_duplicates, quality, secrets, token_counts, toxicity, warc
+from marketspark.llm import contamination, html_text, licenses, line_dedup, mixing, near_duplicates, prefix_trie, quality, secrets, token_counts, toxicity, warc
 from marketspark.llm.common import table
 
 
@@ -24,6 +24,7 @@ QUERIES = {
     "op9_decontaminate": _over(contamination.query, "documents", "benchmark"),
     "op10_toxicity": _over(toxicity.query, "documents", "labels"),
     "op11_token_counts": _over(token_counts.query, "documents"),
+    "op12_prefix_trie": _over(prefix_trie.query, "conversations"),
 }
 
 # Forest, page parser, ledger, classifier and tokenizer have no SQL form.
@@ -34,4 +35,5 @@ ORACLES = {
     "op7_ngram_jaccard": near_duplicates.SQL,
     "op8_license_scan": licenses.SQL,
     "op9_decontaminate": contamination.SQL,
+    "op12_prefix_trie": prefix_trie.SQL,
 }
