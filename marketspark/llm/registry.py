@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marketspark.llm import contamination, html_text, licenses, line_dedup, mixing, near_duplicates, prefix_trie, quality, secrets, token_counts, toxicity, warc
+from marketspark.llm import contamination, html_text, licenses, line_dedup, mixing, near_duplicates, prefix_trie, quality, secrets, token_counts, toxicity, vector_codes, warc
 from marketspark.llm.common import table
 
 
@@ -25,6 +25,7 @@ QUERIES = {
     "op10_toxicity": _over(toxicity.query, "documents", "labels"),
     "op11_token_counts": _over(token_counts.query, "documents"),
     "op12_prefix_trie": _over(prefix_trie.query, "conversations"),
+    "op13_vector_codes": _over(vector_codes.query, "embeddings"),
 }
 
 # Forest, page parser, ledger, classifier and tokenizer have no SQL form.
@@ -36,4 +37,5 @@ ORACLES = {
     "op8_license_scan": licenses.SQL,
     "op9_decontaminate": contamination.SQL,
     "op12_prefix_trie": prefix_trie.SQL,
+    "op13_vector_codes": vector_codes.SQL,
 }
