@@ -11,15 +11,12 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from marketspark.operators.quantiles import exact_quantiles
 from marketspark.operators.regression import linear_form, multi_ols
-from marketspark.operators.reshape import map_groups
 
 
 def monthly_median(df: DataFrame, key: str, day: str, value: str) -> DataFrame:
@@ -139,92 +136,6 @@ def hinge_trend(series: DataFrame, key: str, months: int = 24) -> DataFrame:
     return _fit_terms(full, key, ["one", "t", *bends, *levels])
 
 
-def boosted_trees(series: DataFrame, key: str, months: int = 24, rounds: int = 20) -> DataFrame:
-    """Boosted regression trees on trend, calendar month and series."""
-    full = _scaled_time(with_future(series, key, months), key).withColumn("season", F.month("month"))
-    indexed = StringIndexer(inputCol=key, outputCol="series_no", stringOrderType="alphabetAsc").fit(full).transform(full)
-    features = VectorAssembler(inputCols=["t", "season", "series_no"], outputCol="features").transform(indexed)
-    trees = GBTRegressor(labelCol="value", maxIter=rounds, maxDepth=3, stepSize=0.3, seed=7)
-    model = trees.fit(features.filter(F.col("value").isNotNull()))
-    return _result(model.transform(features), key, F.col("prediction"))
-
-
-def _smooth(y: np.ndarray, alpha: float, beta: float, gamma: float, season: int):
-    """One pass of additive smoothing: one-step predictions and the final state."""
-    level, trend = y[0], 0.0
-    if beta > 0:
-        trend = (y[min(len(y), 12) - 1] - y[0]) / max(min(len(y), 12) - 1, 1)
-    seasonal = np.zeros(max(season, 1))
-    if season:
-        level = y[:season].mean()
-        seasonal = y[:season] - level
-    fitted = np.empty(len(y))
-    for i, value in enumerate(y):
-        s = seasonal[i % len(seasonal)]
-        fitted[i] = level + trend + s
-        error = value - fitted[i]
-        level += trend + alpha * error
-        trend += alpha * beta * error
-        if season:
-            seasonal[i % season] += gamma * (1 - alpha) * error
-    return fitted, level, trend, seasonal
-
-
-def _best_smoothing(y: np.ndarray):
-    """Weights and form with the lowest corrected AIC over a refined grid."""
-    best = None
-    coarse = np.array([0.05, 0.2, 0.4, 0.6, 0.8, 0.95])
-    for with_trend, season in ((False, 0), (True, 0), (False, 12), (True, 12)):
-        size = 2 + 2 * with_trend + (season + 1 if season else 0)
-        if len(y) < max(2 * season, size + 3):
-            continue
-        weights, step, score = None, 0.2, math.inf
-        for _ in range(4):
-            axes = []
-            for i, used in enumerate((True, with_trend, bool(season))):
-                if not used:
-                    axes.append([0.0])
-                elif weights is None:
-                    axes.append(coarse)
-                else:
-                    axes.append(np.clip([weights[i] - step / 2, weights[i], weights[i] + step / 2], 0.001, 0.999))
-            for a in axes[0]:
-                for b in axes[1]:
-                    for g in axes[2]:
-                        sse = float(((y - _smooth(y, a, b, g, season)[0]) ** 2).sum())
-                        if sse < score:
-                            score, chosen = sse, (a, b, g)
-            weights, step = chosen, step / 2
-        n = len(y)
-        aicc = n * math.log(max(score, 1e-12) / n) + 2 * size + 2 * size * (size + 1) / (n - size - 1)
-        if best is None or aicc < best[0]:
-            best = (aicc, weights, season)
-    return best
-
-
-def exponential_smoothing(series: DataFrame, key: str, months: int = 24) -> DataFrame:
-    """Additive exponential smoothing, form and weights chosen per series."""
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("month")
-        known = pdf["value"].notna().to_numpy()
-        y = pdf.loc[known, "value"].to_numpy(float)
-        predicted = np.full(len(pdf), np.nan)
-        found = _best_smoothing(y)
-        if found is None:
-            predicted[:] = y.mean()
-        else:
-            _, (a, b, g), season = found
-            fitted, level, trend, seasonal = _smooth(y, a, b, g, season)
-            ahead = np.arange(1, len(pdf) - len(y) + 1)
-            predicted[known] = fitted
-            predicted[~known] = level + trend * ahead + seasonal[(len(y) + ahead - 1) % len(seasonal)]
-        return pdf.rename(columns={"value": "actual"}).assign(predicted=predicted)
-
-    full = with_future(series, key, months)
-    return map_groups(full, [key], fit, f"{key} string, month date, actual double, predicted double")
-
-
 def model_table(models: dict[str, DataFrame]) -> DataFrame:
     """Fitted values and forecasts of several models under each other."""
     tagged = [df.withColumn("model", F.lit(name)) for name, df in models.items()]

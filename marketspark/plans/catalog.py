@@ -6,6 +6,7 @@ from marketspark.plans import (  # noqa: F401
     queries_models,
     queries_records,
     queries_reports,
+    queries_series,
     queries_sources,
     queries_windows,
 )

@@ -13,7 +13,7 @@ from marketspark.sources.snapshot import materialize
 
 AS_OF = date(2001, 8, 1)
 
-_snapshots: dict[tuple[str, str, str], DataFrame] = {}
+_snapshots: dict[tuple, DataFrame] = {}
 
 
 class Market:
@@ -41,16 +41,26 @@ class Market:
             self.table("orders"), self.table("lineitem"), self.table("customer"), self.table("nation")
         )
 
-    def _once(self, name: str, build, partition_by: str | None = None) -> DataFrame:
-        """The table ``name`` of this folder, written the first time a session asks for it."""
-        key = (self.spark.sparkContext.applicationId, self.dir, name)
+    def once(self, name: str, build, partition_by: str | None = None) -> DataFrame:
+        """The table ``name`` of this folder, written the first time a session asks for it.
+
+        It is written anew once one of the tables it comes from has changed.
+        """
+        key = (self.spark.sparkContext.applicationId, self.dir, self._stamps(), name)
         if key not in _snapshots:
             _snapshots[key] = materialize(build(), name, partition_by)
         return _snapshots[key]
 
+    def _stamps(self) -> tuple[int, ...]:
+        """When each table was last written, as its file system tells."""
+        context = self.spark.sparkContext
+        path_of = context._jvm.org.apache.hadoop.fs.Path
+        paths = [path_of(f"{self.dir}/{name}.parquet") for name in ("orders", "lineitem", "customer", "nation")]
+        return tuple(p.getFileSystem(context._jsc.hadoopConfiguration()).getFileStatus(p).getModificationTime() for p in paths)
+
     @property
     def listings(self) -> DataFrame:
-        return self._once(
+        return self.once(
             "listings",
             lambda: enrich_listings(self.raw_listings, self.config.as_of),
             partition_by="listing_year",
@@ -62,7 +72,7 @@ class Market:
 
     def stock(self, *keys: str) -> DataFrame:
         """Entities per key, as a dimension table of known size."""
-        return self._once(
+        return self.once(
             "stock-" + "-".join(keys),
             lambda: stock_by(self.table("customer"), self.table("nation"), *keys),
         )

@@ -504,8 +504,8 @@ def smooth_loess(m):
 
 
 def price_series(m):
-    """Median sale amount per category and month, written once: every model reads it more than once."""
-    return materialize(forecast.monthly_median(m.sold, "category", "sale_date", "amount"), "price-series")
+    """Median sale amount per category and month, written once: every model reads it."""
+    return m.once("price-series", lambda: forecast.monthly_median(m.sold, "category", "sale_date", "amount"))
 
 
 SERIES_SQL = """
@@ -519,7 +519,7 @@ fx as (select *, cast(date_diff('day', date '1970-01-01', month) as double) as x
 """
 
 
-def _forecast_rows(df, digits=4):
+def forecast_rows(df, digits=4):
     return df.select(
         "category", "month", rounded("actual").alias("actual"), rounded("predicted", digits).alias("predicted")
     )
@@ -537,11 +537,11 @@ def _forecast_rows(df, digits=4):
     SERIES_SQL,
 )
 def ts_seasonal_lm(m):
-    return _forecast_rows(forecast.seasonal_trend(price_series(m), "category"))
+    return forecast_rows(forecast.seasonal_trend(price_series(m), "category"))
 
 
 @query(
-    "ts_ar_forecast",
+    "ts_ar1_forecast",
     f"""select category, month, {sql_rounded('value')} as actual,
         {sql_rounded('''case when month > mx
           then pow(phi, date_diff('month', mx, month)) * lv
@@ -555,18 +555,19 @@ def ts_seasonal_lm(m):
           using (category)""",
     SERIES_SQL,
 )
-def ts_ar_forecast(m):
-    return _forecast_rows(forecast.autoregressive(price_series(m), "category"))
+def ts_ar1_forecast(m):
+    return forecast_rows(forecast.autoregressive(price_series(m), "category"))
 
 
-def stepwise_sql(source: str, terms: dict[str, str]) -> str:
+def stepwise_sql(source: str, terms: dict[str, str], st: str = "st") -> str:
     """CTEs that regress ``value`` on the terms one by one, each freed of the ones before it.
 
-    The last CTE, ``st``, has a prediction for every row of ``source``, observed or not.
+    The last CTE, ``st``, has a prediction for every row of ``source``, observed or not; those before
+    it, ``st`` with the number of terms, have the fits on the first terms alone.
     """
     names = list(terms)
     columns = ", ".join(f"cast({sql} as double) as {name}" for name, sql in terms.items())
-    steps = [f"st0 as (select category, month, value, value as res, 0e0 as predicted, {columns} from {source})"]
+    steps = [f"{st}0 as (select category, month, value, value as res, 0e0 as predicted, {columns} from {source})"]
     for k, q in enumerate(names):
 
         def share(of: str) -> str:
@@ -576,10 +577,10 @@ def stepwise_sql(source: str, terms: dict[str, str]) -> str:
 
         rest = "".join(f", {name} - {share(name)} as {name}" for name in names[k + 1 :])
         steps.append(
-            f"st{k + 1} as (select category, month, value, res - {share('res')} as res,"
-            f" predicted + {share('res')} as predicted{rest} from st{k})"
+            f"{st}{k + 1} as (select category, month, value, res - {share('res')} as res,"
+            f" predicted + {share('res')} as predicted{rest} from {st}{k})"
         )
-    return ",\n".join(steps) + f",\nst as (select * from st{len(names)})"
+    return ",\n".join(steps) + f",\n{st} as (select * from {st}{len(names)})"
 
 
 TIME_SQL = """
@@ -641,23 +642,13 @@ def reg_categorical(m):
     return coefficients.withColumn("estimate", rounded("estimate", 2))
 
 
-@query("ts_ets_forecast")
-def ts_ets_forecast(m):
-    return _forecast_rows(forecast.exponential_smoothing(price_series(m), "category"))
-
-
-@query("ts_gbt_forecast")
-def ts_gbt_forecast(m):
-    return _forecast_rows(forecast.boosted_trees(price_series(m), "category"))
-
-
 @query(
     "ts_fourier_trend",
     STEPWISE_RESULT,
     SERIES_SQL + "," + TIME_SQL + "," + stepwise_sql("tk", {"one": "1", "tt": "t", **WAVES}),
 )
 def ts_fourier_trend(m):
-    return _forecast_rows(forecast.fourier_trend(price_series(m), "category"), digits=3)
+    return forecast_rows(forecast.fourier_trend(price_series(m), "category"), digits=3)
 
 
 @query(
@@ -666,30 +657,4 @@ def ts_fourier_trend(m):
     SERIES_SQL + "," + TIME_SQL + "," + stepwise_sql("tk", {"one": "1", "tt": "t", **BENDS, **LEVELS}),
 )
 def ts_hinge_regression(m):
-    return _forecast_rows(forecast.hinge_trend(price_series(m), "category"), digits=3)
-
-
-def all_models(m):
-    series = price_series(m)
-    fits = {
-        "seasonal_lm": forecast.seasonal_trend,
-        "autoregressive": forecast.autoregressive,
-        "smoothing": forecast.exponential_smoothing,
-        "boosted_trees": forecast.boosted_trees,
-        "fourier": forecast.fourier_trend,
-        "hinge": forecast.hinge_trend,
-    }
-    return forecast.model_table({name: fit(series, "category") for name, fit in fits.items()})
-
-
-@query("ts_model_table")
-def ts_model_table(m):
-    """Forecasts of every model after the last observed month."""
-    return all_models(m).filter(F.col("actual").isNull()).select(
-        "model", "category", "month", rounded("predicted", 4).alias("predicted")
-    )
-
-
-@query("ts_model_accuracy")
-def ts_model_accuracy(m):
-    return forecast.accuracy(all_models(m), ["model", "category"])
+    return forecast_rows(forecast.hinge_trend(price_series(m), "category"), digits=3)
