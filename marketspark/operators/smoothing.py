@@ -2,10 +2,85 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+from itertools import accumulate
+from math import comb
+
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
 
 from marketspark.functions.stats import t_quantile_975
 
+FLAT = 10**12  # a fit whose determinant is this much below its weights' cube is not determined
+_POWERS = 13  # the weight has degree 9, a fit needs its first four moments
+
+
+class _Days:
+    """Days of a calendar with the sums of their rows, in whole numbers.
+
+    The tricube weight is a polynomial on each side of an anchor, so a fit needs power sums over two
+    ranges of days, which are differences of running power sums. Those of high powers would cancel in
+    floating point. Days are whole numbers, and so are anchors and bandwidths in units of
+    1 / (grid - 1) day; the sums of values are rounded to 60 bits of the largest one. All sums are
+    then exact integers, and a fit is rounded once.
+    """
+
+    def __init__(self, x: list[int], n: list[int], sy: list[float], unit: int):
+        self.first, self.unit = x[0], unit
+        self.x = [unit * (day - x[0]) for day in x]
+        largest = max((abs(v) for v in sy), default=0.0) or 1.0
+        self.scale = largest / (1 << 60)
+        values = [round(v / self.scale) for v in sy]
+        self.rows = [0, *accumulate(n)]
+        self.counts = [[0, *accumulate(c * at**k for c, at in zip(n, self.x))] for k in range(2 * _POWERS - 3)]
+        self.sums = [[0, *accumulate(v * at**k for v, at in zip(values, self.x))] for k in range(_POWERS - 1)]
+
+    def bandwidth(self, at: int, wanted: int) -> int:
+        """Distance to the ``wanted``-th nearest row."""
+        low, high = 0, self.x[-1]
+        while low < high:
+            mid = (low + high) // 2
+            held = self.rows[bisect_right(self.x, at + mid)] - self.rows[bisect_left(self.x, at - mid)]
+            low, high = (low, mid) if held >= wanted else (mid + 1, high)
+        return low
+
+    @staticmethod
+    def moments(running: list[list[int]], begin: int, end: int, at: int) -> list[int]:
+        """Power sums about ``at`` of the days from ``begin`` to before ``end``."""
+        plain = [sums[end] - sums[begin] for sums in running]
+        shift = [(-at) ** k for k in range(len(plain))]
+        return [sum(comb(j, k) * shift[j - k] * plain[k] for k in range(j + 1)) for j in range(len(plain))]
+
+    def weighed(self, running: list[list[int]], ranges, at: int, h: int, power: int, count: int) -> list[int]:
+        """Sums of weight^(power / 3) u^k for k < ``count``, times h^(3 power + 4)."""
+        out = [0] * count
+        scale = [h ** (3 * power + 4 - k) for k in range(3 * power + count)]
+        for side, begin, end in ranges:
+            about = self.moments(running[: 3 * power + count], begin, end, at)
+            for k in range(count):
+                out[k] += sum(comb(power, m) * (-side) ** m * about[3 * m + k] * scale[3 * m + k] for m in range(power + 1))
+        return out
+
+    def fit(self, at: int, span: float) -> tuple[float, float, float] | None:
+        """Value at ``at``, squared norm of its smoother row, weight of a row there; None if not determined."""
+        h = self.bandwidth(at, int(self.rows[-1] * span + 1e-5))
+        if not h:
+            return None
+        middle = bisect_right(self.x, at)
+        ranges = [(-1, bisect_right(self.x, at - h), middle), (1, middle, bisect_left(self.x, at + h))]
+        s = self.weighed(self.counts, ranges, at, h, 3, 5)
+        t = self.weighed(self.sums, ranges, at, h, 3, 3)
+        v = self.weighed(self.counts, ranges, at, h, 6, 5)
+        a0, a1, a2 = s[2] * s[4] - s[3] * s[3], s[2] * s[3] - s[1] * s[4], s[1] * s[3] - s[2] * s[2]
+        det = s[0] * a0 + s[1] * a1 + s[2] * a2
+        if det * FLAT <= s[0] ** 3:
+            return None
+        norm2 = a0 * a0 * v[0] + 2 * a0 * a1 * v[1] + (a1 * a1 + 2 * a0 * a2) * v[2] + 2 * a1 * a2 * v[3] + a2 * a2 * v[4]
+        # s and t carry h^13 and v h^22: det has 39 of those powers, a 26, norm2 74.
+        unit = h**13
+        return (a0 * t[0] + a1 * t[1] + a2 * t[2]) / det * self.scale, norm2 * unit * unit / (det * det * h**22), a0 * unit / det
+
 
 def loess(
     df: DataFrame,
@@ -18,30 +93,46 @@ def loess(
     """Local quadratic fit with tricube weights on an even grid: (x, fitted[, lower, upper]).
 
     ``x`` counts days. Rows of one day share their weight, so they collapse to (n, sum y, sum y²)
-    first and everything after that is bounded by the calendar. The bandwidth of a grid point is
-    the distance to its ``floor(span * n)``-th nearest row. The band needs the fit on every day for
-    the residual variance; its degrees of freedom are the trace of (I - L)(I - L)'.
+    first, and everything after that is bounded by the calendar: one row per day goes to the driver
+    and to the tasks, which fit the anchors from running power sums. The bandwidth of a grid point is
+    the distance to its ``floor(span * n)``-th nearest row; a point whose bandwidth is zero, or whose
+    window does not determine a fit, is left out. The band needs the fit on every day for the
+    residual variance; its degrees of freedom are the trace of (I - L)(I - L)'.
     """
+    spark = df.sparkSession
     value = F.col(y).cast("double")
     points = (
         df.filter(F.col(day).isNotNull() & F.col(y).isNotNull())
-        .groupBy(F.unix_date(day).cast("double").alias("x"))
+        .groupBy(F.unix_date(day).alias("x"))
         .agg(F.count("*").alias("n"), F.sum(value).alias("sy"), F.sum(value * value).alias("sy2"))
+        .toPandas()  # one row per calendar day
+        .sort_values("x")
     )
-    range_ = points.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    steps = range_.select("lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("step"))
-    anchors = steps.select(
-        (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("step") / (grid - 1)).alias("x0")
+    days = [points[c].tolist() for c in ("x", "n", "sy")]
+    shared = spark.sparkContext.broadcast(days)
+    unit = max(grid - 1, 1)
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        calendar = None
+        for batch in batches:
+            calendar = calendar or _Days(*shared.value, unit)
+            found = [(at, *row) for at in batch["at"].tolist() if (row := calendar.fit(at, span))]
+            yield pd.DataFrame(found, columns=["at", "fitted", "norm2", "own"])
+
+    def fits(anchors: list[int]) -> DataFrame:
+        at = spark.createDataFrame([(a,) for a in anchors], "at long").repartition(spark.sparkContext.defaultParallelism)
+        return at.mapInPandas(fit, "at long, fitted double, norm2 double, own double")
+
+    first, last = (days[0][0], days[0][-1]) if len(points) else (0, 0)
+    curve = fits([(last - first) * g for g in range(grid)] if len(points) else []).select(
+        (F.lit(float(first)) + F.col("at") / unit).alias("x"), "fitted", "norm2"
     )
-    curve = _local_fit(points, anchors, span)
     if not band:
-        return curve.select(F.col("x0").alias("x"), "fitted")
-    on_days = _local_fit(points, points.select(F.col("x").alias("x0")), span)
-    residuals = points.join(on_days, points.x == on_days.x0).agg(
-        F.sum(
-            F.col("sy2") - 2 * F.col("fitted") * F.col("sy") + F.col("n") * F.pow("fitted", F.lit(2.0))
-        ).alias("rss"),
-        (F.sum("n") - 2 * F.sum(F.col("n") * F.col("own_weight")) + F.sum(F.col("n") * F.col("norm2"))).alias("free"),
+        return curve.select("x", "fitted")
+    sums = spark.createDataFrame(points.assign(at=(points["x"] - first) * unit), "x int, n long, sy double, sy2 double, at long")
+    residuals = sums.join(fits([unit * (x - first) for x in days[0]]), "at").agg(
+        F.sum(F.col("sy2") - 2 * F.col("fitted") * F.col("sy") + F.col("n") * F.col("fitted") * F.col("fitted")).alias("rss"),
+        (F.sum("n") - 2 * F.sum(F.col("n") * F.col("own")) + F.sum(F.col("n") * F.col("norm2"))).alias("free"),
     )
     half = (
         t_quantile_975(F.floor("free"))
@@ -49,104 +140,5 @@ def loess(
         * F.sqrt("norm2")
     )
     return curve.crossJoin(F.broadcast(residuals)).select(  # one row
-        F.col("x0").alias("x"),
-        "fitted",
-        (F.col("fitted") - half).alias("lower"),
-        (F.col("fitted") + half).alias("upper"),
-    )
-
-
-# Steps of a search over distances in days, longest first; together they span 11 000 years.
-_SEARCH_STEPS = tuple(1 << k for k in range(21, -1, -1))
-
-
-def _with_bandwidth(points: DataFrame, anchors: DataFrame, span: float) -> DataFrame:
-    """Add to each ``x0`` the distance to its ``floor(span * n)``-th nearest row.
-
-    Running counts over the gap-free calendar, one array for all anchors, answer how many rows lie
-    within a distance; a search over whole days and a look at the two days at its end find the
-    exact distance without pairing anchors and days.
-    """
-    days = points.agg(F.min("x").cast("int").alias("lo"), F.max("x").cast("int").alias("hi")).select(
-        F.explode(F.sequence("lo", "hi")).alias("day")
-    )
-    # One row per calendar day.
-    upto = F.sum(F.coalesce("n", F.lit(0))).over(
-        Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+        "x", "fitted", (F.col("fitted") - half).alias("lower"), (F.col("fitted") + half).alias("upper")
     )
-    counted = days.join(points.select(F.col("x").cast("int").alias("day"), "n"), "day", "left").select(
-        F.struct("day", upto.alias("upto")).alias("at")
-    )
-    calendar = counted.agg(F.array_sort(F.collect_list("at")).alias("at")).select(
-        F.col("at.upto").alias("upto"), F.col("at")[0]["day"].alias("lo"), F.size("at").alias("length")
-    )
-
-    def within(distance: Column) -> Column:
-        last = F.least(F.floor(F.col("x0") + distance) - F.col("lo"), F.col("length") - 1)
-        before = F.ceil(F.col("x0") - distance) - F.col("lo") - 1
-        return F.get("upto", last.cast("int")) - F.coalesce(
-            F.when(before >= 0, F.get("upto", before.cast("int"))), F.lit(0)
-        )
-
-    wanted = F.floor(F.get("upto", F.col("length") - 1) * span + 1e-5)
-    whole_days = F.aggregate(
-        F.array(*[F.lit(s) for s in _SEARCH_STEPS]),
-        F.lit(0),
-        lambda found, step: found + F.when(within(found + step - 1) < wanted, step).otherwise(0),
-    )
-    left = F.col("x0") - F.ceil(F.col("x0") - F.col("whole"))
-    right = F.floor(F.col("x0") + F.col("whole")) - F.col("x0")
-    nearer, farther = F.least(left, right), F.greatest(left, right)
-    return (
-        anchors.crossJoin(F.broadcast(calendar))  # one row
-        .withColumn("whole", whole_days)
-        .select("x0", F.when(within(nearer) >= wanted, nearer).otherwise(farther).alias("bandwidth"))
-    )
-
-
-def _local_fit(points: DataFrame, anchors: DataFrame, span: float) -> DataFrame:
-    """Fit at each ``x0``: value, squared norm of its smoother row, weight of a row at ``x0``.
-
-    Anchors times days are both bounded by the calendar; the sums combine before any shuffle.
-    """
-    reach = _with_bandwidth(points, anchors, span).repartition("x0")
-    u = (F.col("x") - F.col("x0")) / F.col("bandwidth")
-    tricube = F.col("c") * F.col("c") * F.col("c")
-    weighted = (
-        reach.join(F.broadcast(points), F.abs(F.col("x") - F.col("x0")) < F.col("bandwidth"))
-        .withColumn("u", u)
-        .withColumn("c", 1 - F.abs("u") * F.col("u") * F.col("u"))
-        .withColumn("w", tricube)
-        .groupBy("x0")
-        .agg(
-            *[F.sum(F.col("n") * F.col("w") * _power("u", k)).alias(f"s{k}") for k in range(5)],
-            *[F.sum(F.col("w") * F.col("sy") * _power("u", k)).alias(f"t{k}") for k in range(3)],
-            *[F.sum(F.col("n") * F.col("w") * F.col("w") * _power("u", k)).alias(f"v{k}") for k in range(5)],
-        )
-    )
-    s0, s1, s2, s3, s4 = (F.col(f"s{k}") for k in range(5))
-    row = weighted.withColumns(
-        {"a0": s2 * s4 - s3 * s3, "a1": s2 * s3 - s1 * s4, "a2": s1 * s3 - s2 * s2}
-    ).withColumn("det", s0 * F.col("a0") + s1 * F.col("a1") + s2 * F.col("a2"))
-    a0, a1, a2 = F.col("a0"), F.col("a1"), F.col("a2")
-    det = F.when(F.col("det") > 1e-12 * s0 * s0 * s0, F.col("det"))
-    norm2 = (
-        a0 * a0 * F.col("v0")
-        + 2 * a0 * a1 * F.col("v1")
-        + (a1 * a1 + 2 * a0 * a2) * F.col("v2")
-        + 2 * a1 * a2 * F.col("v3")
-        + a2 * a2 * F.col("v4")
-    )
-    return row.select(
-        "x0",
-        ((a0 * F.col("t0") + a1 * F.col("t1") + a2 * F.col("t2")) / det).alias("fitted"),
-        (norm2 / (det * det)).alias("norm2"),
-        (a0 / det).alias("own_weight"),
-    )
-
-
-def _power(column: str, k: int) -> Column:
-    value = F.lit(1.0)
-    for _ in range(k):
-        value = value * F.col(column)
-    return value

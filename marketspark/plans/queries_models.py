@@ -6,10 +6,11 @@ from marketspark.functions.stats import EXACT_DF, T_975, Z_975
 from marketspark.operators import forecast, regression
 from marketspark.operators.ordered import frequent_groups
 from marketspark.operators.smoothing import loess
-from marketspark.plans import projections, reports
+from marketspark.plans import fundamentals, projections, reports
 from marketspark.plans.market import AS_OF
+from marketspark.plans.queries_joins import MONTHLY_SQL, SOLD_12MO_SQL
 from marketspark.plans.queries_reports import LAST_DAY_SQL, VALUE_SQL
-from marketspark.plans.queries_windows import HISTORY_SQL, history
+from marketspark.plans.queries_windows import EVENTS_SQL, HISTORY_SQL, history
 from marketspark.plans.registry import query, rounded, sql_rounded
 from marketspark.sources.snapshot import materialize
 
@@ -475,10 +476,11 @@ def local_fit_sql(name: str, anchors: str) -> str:
 """
 
 
-LOESS_SQL = f"""
-lp as (select cast(date_diff('day', date '1970-01-01', sale_date) as double) as x, count(*) as n,
-              cast(sum(time_on_market) as double) as sy, sum(cast(time_on_market as double) * time_on_market) as sy2
-       from e where sale_date is not null group by 1),
+def loess_sql(day: str, value: str, source: str) -> str:
+    return f"""
+lp as (select cast(date_diff('day', date '1970-01-01', {day}) as double) as x, count(*) as n,
+              sum(cast({value} as double)) as sy, sum(cast({value} as double) * cast({value} as double)) as sy2
+       from {source} where {day} is not null and {value} is not null group by 1),
 lg as (select min(x) + (max(x) - min(x)) * g / 79 as x0
        from lp, (select unnest(range(80)) as g) group by g),
 ld as (select x as x0 from lp),
@@ -488,19 +490,65 @@ lr as (select sum(sy2 - 2 * fitted * sy + n * fitted * fitted) as rss,
               sum(n) - 2 * sum(n * own) + sum(n * norm2) as free
        from lp join le on lp.x = le.x0)
 """
+
+
 LOESS_HALF = f"{t_sql('floor(free)')} * sqrt(rss / free) * sqrt(norm2)"
 
 
+def loess_result(digits: int = 6, band: bool = True) -> str:
+    edges = f", {sql_rounded(f'fitted - {LOESS_HALF}', digits)} as lower, {sql_rounded(f'fitted + {LOESS_HALF}', digits)} as upper"
+    return f"select {sql_rounded('x0', 4)} as x, {sql_rounded('fitted', digits)} as fitted{edges if band else ''} from lf, lr"
+
+
+def curve(df, day, value, digits=6, band=True):
+    found = loess(df.select(day, value), day, value, band=band)
+    return found.select(rounded("x", 4).alias("x"), *[rounded(c, digits).alias(c) for c in found.columns[1:]])
+
+
+@query("smooth_loess", loess_result(), loess_sql("sale_date", "time_on_market", "e"))
+def smooth_loess(m):
+    return curve(m.sold, "sale_date", "time_on_market")
+
+
+@query("smooth_loess_amount", loess_result(2), loess_sql("sale_date", "amount", "e"))
+def smooth_loess_amount(m):
+    return curve(m.sold, "sale_date", "amount", digits=2)
+
+
+SPEED_SQL = """
+sy0 as (select event_date as date, inventory / cast(nullif(homes_sold, 0) as double) * 12 as speed
+        from inv join sold_anchor on event_date = date where event_date >= (select first + interval 1 year from first_anchor)),
+"""
+MONTH_SPEED_SQL = """
+sm0 as (select date, inventory / cast(nullif(homes_sold, 0) as double) * 12 as speed
+        from monthly join sold_month using (date) where date >= (select first + interval 1 year from first_anchor)),
+"""
+
+
 @query(
-    "smooth_loess",
-    f"""select {sql_rounded('x0', 4)} as x, {sql_rounded('fitted')} as fitted,
-        {sql_rounded(f'fitted - {LOESS_HALF}')} as lower, {sql_rounded(f'fitted + {LOESS_HALF}')} as upper
-        from lf, lr""",
-    LOESS_SQL,
+    "smooth_loess_speed",
+    loess_result(4, band=False),
+    ",".join((EVENTS_SQL, SOLD_12MO_SQL, SPEED_SQL + loess_sql("date", "speed", "sy0"))),
 )
-def smooth_loess(m):
-    curve = loess(m.sold.select("sale_date", "time_on_market"), "sale_date", "time_on_market")
-    return curve.select(rounded("x", 4).alias("x"), *[rounded(c).alias(c) for c in ("fitted", "lower", "upper")])
+def smooth_loess_speed(m):
+    """Months of inventory at each event."""
+    return curve(fundamentals.market_speed_at_events(m.listings, AS_OF), "date", "market_speed", digits=4, band=False)
+
+
+@query(
+    "smooth_loess_speed_month",
+    loess_result(4, band=False),
+    ",".join((EVENTS_SQL, MONTHLY_SQL, SOLD_12MO_SQL, MONTH_SPEED_SQL + loess_sql("date", "speed", "sm0"))),
+)
+def smooth_loess_speed_month(m):
+    """Months of inventory by month."""
+    return curve(fundamentals.market_speed_by_month(m.listings, AS_OF), "date", "market_speed", digits=4, band=False)
+
+
+@query("smooth_loess_trailing", loess_result(4), SOLD_12MO_SQL + "," + loess_sql("date", "homes_sold", "sold_anchor"))
+def smooth_loess_trailing(m):
+    """Sales of the twelve months before each anchor date."""
+    return curve(fundamentals.sold_at_anchors(m.listings, AS_OF), "date", "homes_sold", digits=4)
 
 
 def price_series(m):
