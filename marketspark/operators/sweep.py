@@ -27,16 +27,17 @@ def _swept(matrix: Column, pivot: Column) -> Column:
 
 
 def nested_fits(products: str, terms: int) -> Column:
-    """Fits on the first term, the first two, and so on: an array of (``rss``, ``beta``, ``inverse``).
+    """Fits on the first term, the first two, and so on: an array of (``rss``, ``beta``, ``inverse``, ``used``).
 
     ``products`` names a column of (terms + 1) x (terms + 1) cross products, the target last. ``beta``
     has a value per term, zero for those not yet in and for those that are collinear with earlier
-    ones. ``inverse`` is the swept matrix; its first ``terms`` rows and columns hold the inverse.
+    ones, for which ``used`` is false. ``inverse`` is the swept matrix; its rows and columns of used terms
+    hold the inverse.
     """
     start = F.struct(
         F.col(products).alias("m"),
         F.array().cast("array<boolean>").alias("used"),
-        F.array().cast("array<struct<rss:double,beta:array<double>,inverse:array<array<double>>>>").alias("fits"),
+        F.array().cast("array<struct<rss:double,beta:array<double>,inverse:array<array<double>>,used:array<boolean>>>").alias("fits"),
     )
 
     def step(state: Column, pivot: Column) -> Column:
@@ -48,7 +49,7 @@ def nested_fits(products: str, terms: int) -> Column:
                 F.sequence(F.lit(0), F.lit(terms - 1)),
                 lambda i: F.when(F.coalesce(F.get(used, i), F.lit(False)), _cell(matrix, i, F.lit(terms))).otherwise(0.0),
             )
-            fit = F.struct(_cell(matrix, F.lit(terms), F.lit(terms)).alias("rss"), beta.alias("beta"), matrix.alias("inverse"))
+            fit = F.struct(_cell(matrix, F.lit(terms), F.lit(terms)).alias("rss"), beta.alias("beta"), matrix.alias("inverse"), used.alias("used"))
             return F.struct(matrix.alias("m"), used.alias("used"), F.concat(state["fits"], F.array(fit)).alias("fits"))
 
         # Bound once: a lambda's variable is not copied into the places that name it.

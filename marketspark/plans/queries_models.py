@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from marketspark.functions.stats import EXACT_DF, T_975, Z_975
 from marketspark.operators import forecast, regression
+from marketspark.operators.many_terms import augment_terms, fit_terms, fitted_terms, glance_terms, tidy_terms
 from marketspark.operators.ordered import frequent_groups
 from marketspark.operators.smoothing import loess
 from marketspark.plans import fundamentals, projections, reports
@@ -126,6 +127,44 @@ def reg_glance(m):
     return quality.withColumns({c: rounded(c, d) for c, d in digits.items()})
 
 
+@query(
+    "reg_glance_value",
+    f"""select sale_year, {sql_rounded('1 - rss / syy')} as r_squared,
+        {sql_rounded('1 - rss / syy * (n - 1) / dfr')} as adj_r_squared, {sql_rounded('sigma / 1e6', 5)} as sigma,
+        {sql_rounded('(syy - rss) / (rss / dfr)', 0)} as statistic, case when slope is not null then 1 end as df,
+        {sql_rounded(LOG_LIK, 4)} as log_lik, {sql_rounded(f'-2 * {LOG_LIK} + 6', 4)} as aic,
+        {sql_rounded(f'-2 * {LOG_LIK} + 3 * ln(n)', 4)} as bic, {sql_rounded('rss / 1e12', 1)} as deviance,
+        cast(dfr as bigint) as df_residual, cast(n as bigint) as nobs from vm""",
+    VALUE_MODEL_SQL,
+)
+def reg_glance_value(m):
+    """Quality of the running amount's line per sale year; sigma in millions."""
+    quality = regression.glance(projections.value_models(m.listings), ["sale_year"])
+    money = quality.withColumns({"sigma": F.col("sigma") / 1e6, "deviance": F.col("deviance") / 1e12})
+    digits = {"r_squared": 6, "adj_r_squared": 6, "sigma": 5, "statistic": 0, "log_lik": 4, "aic": 4, "bic": 4, "deviance": 1}
+    return money.withColumns({c: rounded(c, d) for c, d in digits.items()})
+
+
+VALUE_ICPT_SE = "(sigma * sqrt(1e0 / n + case when slope is null then 0 else xm * xm / sxx end))"
+
+
+@query(
+    "reg_tidy_value",
+    f"""select sale_year, '(Intercept)' as term, {sql_rounded('icpt', 2)} as estimate, {sql_rounded(VALUE_ICPT_SE, 2)} as std_error,
+        {sql_rounded(f'icpt / {VALUE_ICPT_SE}', 4)} as statistic from vm
+        union all select sale_year, 'day_of_year', {sql_rounded('slope', 2)}, {sql_rounded('sigma / sqrt(sxx)', 2)},
+        {sql_rounded('slope / (sigma / sqrt(sxx))', 4)} from vm""",
+    VALUE_MODEL_SQL,
+)
+def reg_tidy_value(m):
+    """Coefficients of the running amount's line per sale year."""
+    rows = regression.tidy(projections.value_models(m.listings), ["sale_year"], "day_of_year")
+    return rows.select(
+        "sale_year", "term", rounded("estimate", 2).alias("estimate"), rounded("std_error", 2).alias("std_error"),
+        rounded("statistic", 4).alias("statistic"),
+    )
+
+
 def p_value_sql(t: str) -> str:
     """Two-sided p-value of ``t`` with ``dfr`` degrees of freedom, as the finite trigonometric sum."""
     angle = f"atan(abs({t}) / sqrt(dfr))"
@@ -149,7 +188,7 @@ SPEED_MODEL_SQL = (
         "day_of_year",
     )
     + """,
-steps as (select cast(unnest(range(0, 40000)) as double) as i),
+steps as (select cast(unnest(range(0, (select cast(max(dfr) // 2 + 2 as bigint) from pm))) as double) as i),
 pt as (
   select listing_year, category, dfr, slope / nullif(sigma / sqrt(sxx), 0) as ts,
          icpt / nullif(sigma * sqrt(1e0 / n + case when slope is null then 0 else xm * xm / sxx end), 0) as ti
@@ -338,7 +377,7 @@ def reg_value_trend(m):
 
 CUBIC_SQL = """
 c0 as (
-  select (sale_date - (select min(sale_date) from e))
+  select listing_id, (sale_date - (select min(sale_date) from e))
            / cast((select max(sale_date) - min(sale_date) from e) as double) as x,
          sale_date, cast(sum(amount) over (order by sale_date, listing_id rows unbounded preceding) as double) / 1e6 as y
   from e where sale_date is not null),
@@ -353,19 +392,49 @@ kc as (select avg(y) as g0, sum(y * p1) / sum(p1 * p1) as g1, sum(y * p2) / sum(
 cf as (select sale_date, y, g0 + g1 * p1 + g2 * p2 + g3 * p3 as fitted from c3, kc)
 """
 CUBIC_TERMS = ["one", "x", "x2", "x3"]
+# Sums of the orthogonal terms, the raw coefficients of each, and what a row's leverage is made of.
+CUBIC_MODEL_SQL = (
+    CUBIC_SQL
+    + """,
+kn as (select count(*) as n, count(*) - 4 as dfr, sum(p1 * p1) as q1, sum(p2 * p2) as q2, sum(p3 * p3) as q3 from c3),
+kr as (select sum(pow(y - fitted, 2)) as rss, regr_syy(y, y) as syy from cf),
+ks as (select *, sqrt(rss / dfr) as sigma from kn, kr),
+kb as (
+  select k1.a as a1, k2.a as a2, k2.b as b2, k3.a as a3, k3.b as b3 from k1, k2, k3),
+kp as (
+  select 0 as power, 1e0 as r0, -a1 as r1, a1 * a2 - b2 as r2, -a3 * (a1 * a2 - b2) + b3 * a1 as r3 from kb
+  union all select 1, 0, 1, -(a1 + a2), (a1 * a2 - b2) + a3 * (a1 + a2) - b3 from kb
+  union all select 2, 0, 0, 1, -(a1 + a2) - a3 from kb
+  union all select 3, 0, 0, 0, 1 from kb),
+kt as (
+  select power, dfr, (r0 * g0 + r1 * g1 + r2 * g2 + r3 * g3) * 1e6 / pow(span / 1e3, power) as estimate,
+         sigma * sqrt(r0 * r0 / n + r1 * r1 / q1 + r2 * r2 / q2 + r3 * r3 / q3) * 1e6 / pow(span / 1e3, power) as std_error
+  from kp, kc, ks, (select cast(max(sale_date) - min(sale_date) as double) as span from e)),
+kh as (
+  select listing_id, sale_date, g0 + g1 * p1 + g2 * p2 + g3 * p3 as fitted, y - (g0 + g1 * p1 + g2 * p2 + g3 * p3) as residual,
+         1e0 / n + p1 * p1 / q1 + p2 * p2 / q2 + p3 * p3 / q3 as hat, sigma from c3, kc, ks)
+"""
+)
 
 
-def cubic(m):
-    """(rows with fitted, model): running amount in millions as a cubic of time."""
-    rows = reports.value_total(m.listings)
-    last = m.sold.agg(F.datediff(F.max("sale_date"), F.min("sale_date")).alias("days")).scalar()
-    x = F.col("time") / F.nullif(last, F.lit(0))
-    terms = rows.withColumns({"one": F.lit(1.0), "x": x, "y": projections.money("total_amount")}).withColumns(
-        {"x2": F.col("x") * F.col("x"), "x3": F.col("x") * F.col("x") * F.col("x")}
-    )
-    model = regression.multi_ols(terms, [], "y", CUBIC_TERMS)
-    fitted = terms.crossJoin(F.broadcast(model))  # one row
-    return fitted.withColumn("fitted", regression.linear_form(CUBIC_TERMS))
+def cubic_rows(m):
+    """Running amount in millions and powers of the share of the whole time."""
+    rows = m.once("value-total", lambda: reports.value_total(m.listings))
+    return cubic_terms(m, rows).withColumn("y", projections.money("total_amount"))
+
+
+def cubic_terms(m, rows):
+    x = F.datediff("sale_date", m.first("sale_date", m.sold).scalar()) / F.nullif(cubic_span(m), F.lit(0))
+    powers = rows.withColumns({"one": F.lit(1.0), "x": x})
+    return powers.withColumns({"x2": F.col("x") * F.col("x"), "x3": F.col("x") * F.col("x") * F.col("x")})
+
+
+def cubic_span(m):
+    return m.sold.agg(F.datediff(F.max("sale_date"), F.min("sale_date")).alias("days")).scalar()
+
+
+def cubic_model(m):
+    return m.once("cubic-model", lambda: fit_terms(cubic_rows(m), [], "y", CUBIC_TERMS))
 
 
 @query(
@@ -374,7 +443,10 @@ def cubic(m):
     CUBIC_SQL,
 )
 def reg_cubic(m):
-    return cubic(m).select("sale_date", rounded("fitted", 2).alias("fitted")).distinct()
+    """The curve on each sale date; only the dates are scored, not the sales."""
+    dates = cubic_terms(m, m.sold.select("sale_date").distinct())
+    scored = dates.crossJoin(F.broadcast(cubic_model(m)))  # one row
+    return scored.select("sale_date", rounded(fitted_terms(CUBIC_TERMS), 2).alias("fitted"))
 
 
 @query(
@@ -384,12 +456,51 @@ def reg_cubic(m):
     CUBIC_SQL,
 )
 def reg_cubic_quality(m):
-    rss = F.sum(F.pow(F.col("y") - F.col("fitted"), F.lit(2.0)))
-    return cubic(m).agg(
-        F.count("*").alias("nobs"),
-        rounded(F.sqrt(rss / (F.count("*") - 4)), 4).alias("sigma"),
-        rounded(1 - rss / F.regr_syy("y", "y")).alias("r_squared"),
+    quality = glance_terms(cubic_model(m), [])
+    return quality.select("nobs", rounded("sigma", 4).alias("sigma"), rounded("r_squared").alias("r_squared"))
+
+
+@query(
+    "reg_cubic_glance",
+    f"""select {sql_rounded('1 - rss / syy', 8)} as r_squared, {sql_rounded('1 - rss / syy * (n - 1) / dfr', 8)} as adj_r_squared,
+        {sql_rounded('sigma', 5)} as sigma, {sql_rounded('(syy - rss) / 3 / (rss / dfr)', 0)} as statistic, 3 as df,
+        {sql_rounded(LOG_LIK, 2)} as log_lik, {sql_rounded(f'-2 * {LOG_LIK} + 10', 2)} as aic,
+        {sql_rounded(f'-2 * {LOG_LIK} + 5 * ln(n)', 2)} as bic, {sql_rounded('rss', 2)} as deviance,
+        cast(dfr as bigint) as df_residual, cast(n as bigint) as nobs from ks""",
+    CUBIC_MODEL_SQL,
+)
+def reg_cubic_glance(m):
+    digits = {"r_squared": 8, "adj_r_squared": 8, "sigma": 5, "statistic": 0, "log_lik": 2, "aic": 2, "bic": 2, "deviance": 2}
+    return glance_terms(cubic_model(m), []).withColumns({c: rounded(c, d) for c, d in digits.items()})
+
+
+@query(
+    "reg_cubic_tidy",
+    f"""select case power when 0 then '(Intercept)' when 1 then 'time' else 'time^' || power end as term,
+        {sql_rounded('estimate', 0)} as estimate, {sql_rounded('std_error', 0)} as std_error,
+        {sql_rounded('estimate / std_error', 3)} as statistic from kt""",
+    CUBIC_MODEL_SQL,
+)
+def reg_cubic_tidy(m):
+    """Coefficients per thousand days and its powers, in currency."""
+    share = cubic_span(m).cast("double") / 1e3
+    rows = tidy_terms(
+        cubic_model(m), [], ["(Intercept)", "time", "time^2", "time^3"], [F.lit(1e6) / F.pow(share, F.lit(float(k))) for k in range(4)]
     )
+    return rows.select("term", rounded("estimate", 0).alias("estimate"), rounded("std_error", 0).alias("std_error"), rounded("statistic", 3).alias("statistic"))
+
+
+@query(
+    "reg_cubic_augment",
+    f"""select listing_id, sale_date, {sql_rounded('fitted', 4)} as fitted, {sql_rounded('residual', 4)} as residual, {sql_rounded('hat', 9)} as hat,
+        {sql_rounded('residual / (sigma * sqrt(1 - hat))', 4)} as std_residual,
+        {sql_rounded('pow(residual / (sigma * (1 - hat)), 2) * hat / 4', 6)} as cooks_distance from kh""",
+    CUBIC_MODEL_SQL,
+)
+def reg_cubic_augment(m):
+    rows = augment_terms(cubic_rows(m), cubic_model(m), [], "y", CUBIC_TERMS)
+    digits = {"fitted": 4, "residual": 4, "hat": 9, "std_residual": 4, "cooks_distance": 6}
+    return rows.select("listing_id", "sale_date", *[rounded(c, d).alias(c) for c, d in digits.items()])
 
 
 HAT = "(1e0 / n + pow(day_of_year - xm, 2) / sxx)"
