@@ -11,10 +11,9 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from marketspark.operators.absorbed import absorbed_ols
 from marketspark.operators.quantiles import exact_quantiles
 from marketspark.operators.regression import linear_form, multi_ols
 
@@ -158,26 +157,11 @@ def accuracy(table: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def categorical_ols(df: DataFrame, y: str, numbers: list[str], categories: list[str]) -> DataFrame:
-    """Coefficients of ``y`` on numbers and categories; the first level of each is the base."""
-    levels = StringIndexer(
-        inputCols=categories,
-        outputCols=[f"{c}_no" for c in categories],
-        stringOrderType="alphabetDesc",
-    ).fit(df)
-    indexed = levels.transform(df)
-    encoder = OneHotEncoder(
-        inputCols=[f"{c}_no" for c in categories], outputCols=[f"{c}_on" for c in categories]
-    ).fit(indexed)
-    features = VectorAssembler(
-        inputCols=numbers + [f"{c}_on" for c in categories], outputCol="features"
-    ).transform(encoder.transform(indexed))
-    model = LinearRegression(labelCol=y, solver="normal", standardization=True).fit(features)
-    names = list(numbers)
-    for category, labels in zip(categories, levels.labelsArray):
-        names += [f"{category}={label}" for label in labels[:-1]]
-    rows = [("(Intercept)", float(model.intercept))]
-    rows += [(name, float(value)) for name, value in zip(names, model.coefficients)]
-    return df.sparkSession.createDataFrame(rows, "term string, estimate double")
+    """Coefficients of ``y`` on numbers and categories; the first level of each is the base.
+
+    The last category is absorbed: name the one of most levels there.
+    """
+    return absorbed_ols(df, y, numbers, categories[:-1], categories[-1])
 
 
 def date_features(df: DataFrame, day: str) -> DataFrame:

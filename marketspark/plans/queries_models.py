@@ -9,6 +9,7 @@ from marketspark.operators.ordered import frequent_groups
 from marketspark.operators.smoothing import loess
 from marketspark.plans import fundamentals, projections, reports
 from marketspark.plans.market import AS_OF
+from marketspark.plans.queries_columns import STREETS_SQL, streets
 from marketspark.plans.queries_joins import MONTHLY_SQL, SOLD_12MO_SQL
 from marketspark.plans.queries_reports import LAST_DAY_SQL, VALUE_SQL
 from marketspark.plans.queries_windows import EVENTS_SQL, HISTORY_SQL, history
@@ -788,11 +789,11 @@ ca as (
 
 
 @query(
-    "reg_categorical",
+    "reg_categorical_area",
     f"select month as term, {sql_rounded('predicted', 2)} as estimate from st where month is not null",
     CATEGORICAL_SQL,
 )
-def reg_categorical(m):
+def reg_categorical_area(m):
     rows = frequent_groups(m.sold, "area", 12).select(
         F.col("amount").cast("double").alias("amount"), "category", "area",
         F.unix_date("sale_date").cast("double").alias("sale_day"),
@@ -801,6 +802,49 @@ def reg_categorical(m):
     return coefficients.withColumn("estimate", rounded("estimate", 2))
 
 
+# The street is swept out by its means; what the other terms leave of a street's mean is its effect.
+STREET_TERMS = {"sale_day": "sale_day", **{f"category={c}": c for c in ("BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")}}
+STREET_SQL = (
+    STREETS_SQL
+    + f""",
+ra as (
+  select street, cast(amount as double) as value, cast(date_diff('day', date '1970-01-01', sale_date) as double) as sale_day,
+         {', '.join(f"case when category = '{c}' then 1e0 else 0e0 end as {c}" for c in list(STREET_TERMS.values())[1:])}
+  from st where sale_date is not null and street in (select street from st group by 1 having count(*) >= 12)),
+rm as (select street, avg(value) as value, {', '.join(f'avg({c}) as {c}' for c in STREET_TERMS.values())} from ra group by 1),
+rd as (
+  select 'all' as category, null as month, ra.value - rm.value as value, {', '.join(f'ra.{c} - rm.{c} as {c}' for c in STREET_TERMS.values())}
+  from ra join rm using (street)
+  union all
+  select 'all', term, null, {', '.join(f"case when term = '{t}' then 1 else 0 end" for t in STREET_TERMS)}
+  from (select unnest([{', '.join(f"'{t}'" for t in STREET_TERMS)}]) as term)),
+"""
+    + stepwise_sql("rd", {f"c{i}": c for i, c in enumerate(STREET_TERMS.values())}, "rs")
+    + f""",
+rc as (select month as term, predicted as estimate from rs where month is not null),
+re as (select street, value - ({' + '.join(f"{c} * (select estimate from rc where term = '{t}')" for t, c in STREET_TERMS.items())}) as effect from rm)
+"""
+)
+
+
+@query(
+    "reg_categorical",
+    f"""select term, {sql_rounded('estimate', 2)} as estimate from rc
+        union all select '(Intercept)', {sql_rounded('effect', 2)} from re where street = (select min(street) from re)
+        union all select 'street=' || street, {sql_rounded('effect - (select arg_min(effect, street) from re)', 2)} from re
+        where street > (select min(street) from re)""",
+    STREET_SQL,
+)
+def reg_categorical(m):
+    """Amount on sale date, category and street, over streets with a dozen listings or more."""
+    rows = frequent_groups(streets(m), "street", 12).filter(F.col("sale_date").isNotNull()).select(
+        F.col("amount").cast("double").alias("amount"), "category", "street",
+        F.unix_date("sale_date").cast("double").alias("sale_day"),
+    )
+    coefficients = forecast.categorical_ols(rows, "amount", ["sale_day"], ["category", "street"])
+    return coefficients.withColumn("estimate", rounded("estimate", 2))
+
+
 @query(
     "ts_fourier_trend",
     STEPWISE_RESULT,

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketspark.operators import forecast, regression, series_models
+from marketspark.operators.absorbed import absorbed_ols
 from marketspark.operators.enrich import enrich_listings
 from marketspark.operators.smoothing import loess
 from marketspark.plans import projections
@@ -295,6 +296,24 @@ def test_categorical_coefficients_match_lstsq(spark):
     assert [got[t] for t in ("(Intercept)", "x", "c=c", "c=b", "s=v")] == pytest.approx(list(expected), abs=1e-6)
 
 
+def test_absorbed_factors_of_many_levels(spark):
+    """Two factors of 300 and 80 levels in a sparse design against least squares on all dummies."""
+    rng = np.random.default_rng(10)
+    rows = [(int(rng.integers(0, 300)), int(rng.integers(0, 80)), float(rng.normal()), "u") for _ in range(2500)]
+    rows = [(f"s{a:03d}", f"f{(b + a) % 80:02d}" if a % 3 else "f00", x, c) for a, b, x, c in rows]
+    effect_s, effect_f = rng.normal(0, 5, 300), rng.normal(0, 3, 80)
+    y = [10 + 1.5 * x + effect_s[int(a[1:])] + effect_f[int(b[1:])] + float(rng.normal()) for a, b, x, _ in rows]
+    df = spark.createDataFrame([(float(v), *r) for v, r in zip(y, rows)] + [(None, "s000", "f01", 1.0, "u"), (1.0, None, "f01", 1.0, "u")], "y double, s string, f string, x double, one string")
+    got = {r.term: r.estimate for r in absorbed_ols(df, "y", ["x"], ["f", "one"], "s").collect()}
+    levels = [sorted({r[0] for r in rows}), sorted({r[1] for r in rows})]
+    design = np.array([[1, r[2], *(r[0] == v for v in levels[0][1:]), *(r[1] == v for v in levels[1][1:])] for r in rows], float)
+    expected = np.linalg.lstsq(design, np.array(y), rcond=None)[0]
+    terms = ["(Intercept)", "x", *(f"s={v}" for v in levels[0][1:]), *(f"f={v}" for v in levels[1][1:])]
+    assert [got[t] for t in terms] == pytest.approx(list(expected), abs=1e-6)
+    assert got["one=u"] is None and len(got) == len(terms) + 1
+    assert absorbed_ols(df.filter("s = 'none'"), "y", ["x"], ["f"], "s").collect() == []
+
+
 def test_date_features(spark):
     df = spark.createDataFrame([(date(2020, 1, 5),), (date(2020, 1, 7),)], "d date")
     rows = forecast.date_features(df, "d").collect()
