@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from marketspark.functions.labels import listing_status
 
@@ -43,11 +43,22 @@ def active_listings(df: DataFrame) -> DataFrame:
     return df.filter(F.col("sale_date").isNull() & F.col("under_contract").isNull())
 
 
+# The year of a date is a column of its own, by which tables are laid out.
+YEAR_OF = {"listing_date": "listing_year", "sale_date": "sale_year"}
+
+
+def from_year_of(df: DataFrame, column: str, start: Column) -> DataFrame:
+    """The condition on ``column`` in terms of its year, so that whole folders are skipped."""
+    year = YEAR_OF.get(column)
+    return df.filter(F.col(year) >= F.year(start)) if year in df.columns else df
+
+
 def recent(
     df: DataFrame, column: str, as_of: date, days: int, category: str | None = None
 ) -> DataFrame:
     """Strictly later than ``as_of`` minus ``days``."""
-    kept = df.filter(F.col(column) > F.date_sub(F.lit(as_of), days))
+    start = F.date_sub(F.lit(as_of), days)
+    kept = from_year_of(df, column, start).filter(F.col(column) > start)
     return kept if category is None else kept.filter(F.col("category") == category)
 
 
@@ -63,12 +74,14 @@ def year_to_date(df: DataFrame, column: str, as_of: date) -> DataFrame:
 
 
 def since(df: DataFrame, column: str, start: date) -> DataFrame:
-    return df.filter(F.col(column) > F.lit(start))
+    return from_year_of(df, column, F.lit(start)).filter(F.col(column) > F.lit(start))
 
 
 def in_latest_year(df: DataFrame, column: str, latest: DataFrame) -> DataFrame:
     """Rows of the year of the latest date; ``latest`` is a one-row, one-column table."""
-    return df.filter(F.year(column) == F.year(latest.scalar()))
+    year = YEAR_OF.get(column)
+    own = F.col(year) if year in df.columns else F.year(column)
+    return df.filter(own == F.year(latest.scalar()))
 
 
 def present(df: DataFrame, columns: Sequence[str]) -> DataFrame:

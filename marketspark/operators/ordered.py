@@ -219,6 +219,22 @@ def previous_value(
     return lagged.drop("carried", "is_hot", "piece_day", "piece_slice", "repeats")
 
 
+def dense_ranks(df: DataFrame, column: str, name: str, slices: int | None = None) -> DataFrame:
+    """``dense_rank`` of a numeric column over the whole table; null counts as the least value.
+
+    Distinct values are ranked inside slices of the value range, and each slice starts after the
+    values of those before it, which are a prefix sum over one row per slice.
+    """
+    sliced = order_slices(df.select(F.col(column).alias("ranked")).distinct(), "ranked", slices)
+    before = Window.orderBy("order_slice").rowsBetween(Window.unboundedPreceding, -1)  # one row per slice
+    starts = sliced.groupBy("order_slice").agg(F.count("*").alias("n")).select(
+        "order_slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")
+    )
+    inside = F.row_number().over(Window.partitionBy("order_slice").orderBy(F.col("ranked").asc_nulls_first()))
+    places = sliced.join(starts, "order_slice").select("ranked", (F.col("start") + inside).cast("int").alias(name))
+    return df.join(places, F.col(column).eqNullSafe(F.col("ranked"))).drop("ranked")
+
+
 def carry_forward(df: DataFrame, value: str, *, groups: Sequence[str], order: str) -> DataFrame:
     """Last non-null value so far inside a group; for aggregated tables with small groups."""
     window = Window.partitionBy(*groups).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

@@ -201,7 +201,10 @@ def trend_points(
 
 
 def recent_history(df: DataFrame, category: str, days: int, as_of: date) -> DataFrame:
-    """Running listings and running amount of one category over the last days, in listing order."""
+    """Running listings and running amount of one category over the last days, in listing order.
+
+    ``cumulative_value`` is null from the first open listing on; ``sold_value`` takes those as zero.
+    """
     rows = recent(df, "listing_date", as_of, days, category).select(
         "listing_id", "category", "listing_date", "sale_date", "amount"
     )
@@ -209,7 +212,7 @@ def recent_history(df: DataFrame, category: str, days: int, as_of: date) -> Data
         rows,
         "cumulative_value",
         "amount",
-        also={"cumulative_listing": F.lit(1).cast("long")},
+        also={"cumulative_listing": F.lit(1).cast("long"), "sold_value": F.coalesce("amount", F.lit(0))},
         days=["listing_date"],
         tie="listing_id",
     )

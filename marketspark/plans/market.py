@@ -70,6 +70,12 @@ class Market:
     def sold(self) -> DataFrame:
         return self.listings.filter(F.col("sale_date").isNotNull())
 
+    @property
+    def sales(self) -> DataFrame:
+        """The sold listings laid out by sale year, for reports on the sales since a date."""
+        columns = ["listing_id", "category", "sale_date", "sale_year", "amount"]
+        return self.once("sales", lambda: self.sold.select(columns), partition_by="sale_year")
+
     def stock(self, *keys: str) -> DataFrame:
         """Entities per key, as a dimension table of known size."""
         return self.once(

@@ -6,6 +6,7 @@ from marketspark.operators.events import running_inventory, trailing_365_days
 from marketspark.operators.ordered import frequent_groups, running_count
 from marketspark.operators.reshape import stack_params, to_long
 from marketspark.operators.turnover import counts_on_stock, with_category_dim
+from marketspark.operators import enrich
 from marketspark.operators.enrich import year_to_date
 from marketspark.plans import fundamentals
 from marketspark.plans.market import AS_OF
@@ -162,10 +163,9 @@ def join_positional(m):
 )
 def join_params(m):
     recent = F.col("listing_date") > F.date_sub(F.lit(AS_OF), F.col("period"))
-    longest = F.col("listing_date") > F.date_sub(F.lit(AS_OF), max(m.config.horizons))
     return (
         stack_params(
-            m.listings.filter(longest).select("category", "listing_date"),
+            enrich.recent(m.listings, "listing_date", AS_OF, max(m.config.horizons)).select("category", "listing_date"),
             "period",
             m.config.horizons,
             recent,

@@ -12,7 +12,7 @@ from marketspark.plans.market import AS_OF
 from marketspark.plans.queries_columns import STREETS_SQL, streets
 from marketspark.plans.queries_joins import MONTHLY_SQL, SOLD_12MO_SQL
 from marketspark.plans.queries_reports import LAST_DAY_SQL, VALUE_SQL
-from marketspark.plans.queries_windows import EVENTS_SQL, HISTORY_SQL, history
+from marketspark.plans.queries_windows import EVENTS_SQL, HISTORY_SQL, INTERP_SQL, REBASED_VALUE_SQL, history
 from marketspark.plans.registry import query, rounded, sql_rounded
 from marketspark.sources.snapshot import materialize
 
@@ -329,7 +329,7 @@ def _horizons(m, rows, day, measure, scale=1.0):
 
 @query("reg_horizon_value", horizon_result_sql("1e6"), horizon_sql("sale_date", "amount", "amount is not null"))
 def reg_horizon_value(m):
-    rows = m.listings.filter(F.col("amount").isNotNull())
+    rows = m.sales.filter(F.col("amount").isNotNull())
     return _horizons(m, rows, "sale_date", F.col("amount"), 1e6)
 
 
@@ -340,7 +340,7 @@ def reg_horizon_listings(m):
 
 @query("reg_horizon_sales", horizon_result_sql(), horizon_sql("sale_date", "1", "true"))
 def reg_horizon_sales(m):
-    return _horizons(m, m.listings, "sale_date", F.lit(1).cast("long"))
+    return _horizons(m, m.sales, "sale_date", F.lit(1).cast("long"))
 
 
 def trend_sql(day: str, y: str) -> str:
@@ -355,8 +355,11 @@ tp as (select tm.*, cast(as_of - period as date) as date from tm, params
 """
 
 
+DATE_X = "date_diff('day', date '1970-01-01', date)"
+
+
 def trend_result_sql(scale: str) -> str:
-    at_date = fit_sql("date_diff('day', date '1970-01-01', date)")
+    at_date = fit_sql(DATE_X)
     return f"select category, period, date, {sql_rounded(f'{at_date} / {scale}', 5)} as fitted from tp"
 
 
@@ -376,6 +379,32 @@ def reg_value_trend(m):
     return points.withColumn("fitted", rounded(F.col("fitted") / 1e6, 5))
 
 
+@query(
+    "reg_trend_rebased",
+    f"""select 'listings' as measure, category, period, date, {sql_rounded(f"{fit_sql(DATE_X)} - (select y from base)", 5)} as fitted from tp""",
+    trend_sql("listing_date", "cumulative_listing") + "," + INTERP_SQL,
+)
+def reg_trend_rebased(m):
+    """The lines of the running listings, less the running listings at the start of the year."""
+    rows = history(m)
+    points = regression.trend_points(rows, "listing_date", "cumulative_listing", m.config.trend_horizons, AS_OF)
+    base = regression.interpolate_at(rows, "listing_date", "cumulative_listing", F.trunc(F.lit(AS_OF), "YEAR"))
+    return points.select(F.lit("listings").alias("measure"), "category", "period", "date", rounded(F.col("fitted") - base.scalar(), 5).alias("fitted"))
+
+
+@query(
+    "reg_value_trend_rebased",
+    f"""select 'value' as measure, category, period, date, {sql_rounded(f"({fit_sql(DATE_X)} - (select y from base)) / 1e6", 5)} as fitted from tp""",
+    trend_sql("listing_date", "sold_value").replace("from hist, (values", "from hv, (values").replace(HISTORY_SQL, REBASED_VALUE_SQL),
+)
+def reg_value_trend_rebased(m):
+    """The lines of the running amount in listing order, less its value at the start of the year."""
+    rows = history(m)
+    points = regression.trend_points(rows, "listing_date", "sold_value", m.config.trend_horizons, AS_OF)
+    base = regression.interpolate_at(rows, "listing_date", "sold_value", F.trunc(F.lit(AS_OF), "YEAR"))
+    return points.select(F.lit("value").alias("measure"), "category", "period", "date", rounded((F.col("fitted") - base.scalar()) / 1e6, 5).alias("fitted"))
+
+
 CUBIC_SQL = """
 c0 as (
   select listing_id, (sale_date - (select min(sale_date) from e))

@@ -2,16 +2,18 @@
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from marketspark.operators import enrich
 from marketspark.operators.events import listing_events
 from marketspark.operators.forecast import monthly_median
+from marketspark.operators.ordered import dense_ranks
 from marketspark.operators.reshape import latest_date, map_groups, wide_difference
 from marketspark.operators.topk import group_peaks, top_with_ties
 from marketspark.plans.queries_columns import OPEN_COLUMNS, OPEN_SQL, STREETS_SQL, street_turnover
 from marketspark.plans.queries_windows import EVENTS_SQL
 from marketspark.plans.registry import query, rounded, sql_rounded
+from marketspark.sources.snapshot import materialize
 
 
 @query("sort_listing_date", "select listing_id, listing_date, sale_date from e")
@@ -110,11 +112,8 @@ def topk_per_group(m):
     STREETS_SQL,
 )
 def order_by_metric(m):
-    # One row per street of the stock table.
-    ranked = street_turnover(m).withColumn("turnover", rounded("turnover"))
-    return ranked.select(
-        "street", "turnover", F.dense_rank().over(Window.orderBy("turnover")).alias("position")
-    )
+    turnover = street_turnover(m).select("street", rounded("turnover").alias("turnover"))
+    return dense_ranks(materialize(turnover, "street-turnover"), "turnover", "position")
 
 
 @query("reshape_events", "select listing_id, event, event_date, cast(y as int) as y from ev", EVENTS_SQL)

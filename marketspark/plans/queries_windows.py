@@ -173,7 +173,7 @@ PERIODS_SQL = "periods as (select unnest([60, 120, 180, 270, 360]) as period)"
     PERIODS_SQL,
 )
 def win_period_cumulative(m):
-    rows = recent(m.sold, "sale_date", AS_OF, max(m.config.horizons)).select(
+    rows = recent(m.sales, "sale_date", AS_OF, max(m.config.horizons)).select(
         "listing_id", "category", "sale_date", "amount"
     )
     stacked = stack_params(
@@ -241,6 +241,44 @@ def win_rebased_cumulative(m):
     return rows.select("listing_id", "listing_date", rounded(rebased).alias("cumulative_listing"))
 
 
+REBASED_VALUE_SQL = (
+    HISTORY_SQL
+    + """,
+hv as (select *, cast(sum(coalesce(amount, 0)) over (order by listing_date, listing_id rows unbounded preceding) as double) as sold_value from hist),
+"""
+    + INTERP_SQL.replace("cumulative_listing", "sold_value").replace("from hist", "from hv")
+    + """,
+ptn as (select listing_date as x, avg(cumulative_value) as y from hist where cumulative_value is not null group by 1),
+nbn as (select max(x) filter (where x <= d) as x0, min(x) filter (where x >= d) as x1, max(d) as d from ptn, (select max(d) as d from nb)),
+basen as (
+  select case when x0 = x1 then a.y else a.y + (b.y - a.y) * (d - x0) / cast(nullif(x1 - x0, 0) as double) end as y
+  from nbn left join ptn a on a.x = x0 left join ptn b on b.x = x1)
+"""
+)
+
+
+@query(
+    "win_rebased_value",
+    f"""select listing_id, listing_date, {sql_rounded('sold_value - (select y from base)', 2)} as cumulative_value,
+        {sql_rounded('cumulative_value - (select y from basen)', 2)} as null_after_null from hv""",
+    REBASED_VALUE_SQL,
+)
+def win_rebased_value(m):
+    """Running amount less its value at the start of the year: open listings as zero, and as the end of all values."""
+    rows, at = history(m), F.trunc(F.lit(AS_OF), "YEAR")
+    base = {c: interpolate_at(rows, "listing_date", c, at).scalar() for c in ("sold_value", "cumulative_value")}
+    return rows.select(
+        "listing_id", "listing_date", rounded(F.col("sold_value").cast("double") - base["sold_value"], 2).alias("cumulative_value"),
+        rounded(F.col("cumulative_value").cast("double") - base["cumulative_value"], 2).alias("null_after_null"),
+    )
+
+
+@query("interp_at_value", f"select {sql_rounded('y', 2)} as y from base", REBASED_VALUE_SQL)
+def interp_at_value(m):
+    base = interpolate_at(history(m), "listing_date", "sold_value", F.trunc(F.lit(AS_OF), "YEAR"))
+    return base.select(rounded("y", 2).alias("y"))
+
+
 @query("interp_at", f"select {sql_rounded('y')} as y from base", HISTORY_SQL + "," + INTERP_SQL)
 def interp_at(m):
     at = F.trunc(F.lit(AS_OF), "YEAR")

@@ -1,6 +1,7 @@
 from collections import Counter, defaultdict
 from datetime import date, timedelta
 from decimal import Decimal
+import random
 
 import numpy as np
 import pytest
@@ -26,6 +27,7 @@ from marketspark.operators.ordered import (
     slice_count,
     trailing_rows,
 )
+from marketspark.operators import ordered
 from marketspark.plans.flagship import listings_with_inventory
 from marketspark.plans.queries_windows import year_counter
 
@@ -233,3 +235,13 @@ def test_money_sums_stay_exact(spark):
     df = spark.createDataFrame(rows, "id long, day date, v decimal(18,2)")
     got = running_sums(df, {"total": F.col("v")}, days=["day"], tie="id", slices=8)
     assert got.agg(F.max("total")).first()[0] == Decimal("10.00")
+
+
+def test_dense_ranks_equal_one_window(spark):
+    rng = random.Random(11)
+    values = [rng.choice([None, 0.5, 0.25, -1.0, *[k / 7 for k in range(300)]]) for _ in range(2000)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, v double")
+    places = {v: k for k, v in enumerate(sorted(set(values), key=lambda v: (v is not None, v or 0)), 1)}
+    for slices in (1, 4, 16):
+        got = {r.id: r.place for r in ordered.dense_ranks(df, "v", "place", slices).collect()}
+        assert got == {i: places[v] for i, v in enumerate(values)}
