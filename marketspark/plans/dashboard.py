@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from marketspark.plans.flagship import listings_with_inventory
 from marketspark.plans.reports import count_by, market_value, median_days, median_price
-from marketspark.operators.quantiles import exact_quantiles
+from marketspark.operators.quantiles import exact_quantiles, small_domain_median
 from marketspark.sources.snapshot import materialize
 
 
@@ -62,23 +62,46 @@ def turnover(listings: DataFrame, stock: Column) -> DataFrame:
 
 
 def all_panels(listings: DataFrame, stock: Column) -> DataFrame:
-    """(panel, year, value); the inventory rows feed two panels and are written once."""
-    inventory = inventory_rows(listings)
-    panels = {
-        "listed": listed(listings),
-        "sold": sold(listings),
-        "time_on_market": median_time_on_market(listings),
-        "sale_price": median_sale_price(listings),
-        "inventory": average_inventory(inventory),
-        "inventory_time": median_inventory_time(inventory),
-        "market_value": total_value(listings),
-        "turnover": turnover(listings, stock),
-    }
-    stacked = None
-    for name, panel in panels.items():
-        year, value = panel.columns
-        rows = panel.select(
-            F.lit(name).alias("panel"), F.col(year).alias("year"), F.col(value).cast("double").alias("value")
-        )
-        stacked = rows if stacked is None else stacked.unionByName(rows)
-    return stacked
+    """(panel, year, value) of all eight panels.
+
+    Every listing is written once with its inventory and what else the panels need. Counts, sums and
+    the median of days then take one grouped pass, in which a listing is a row of its listing year
+    and one of its sale year, and the other medians one exact-quantile pass with the panel as a group.
+    """
+    carried = ("listing_year", "sale_year", "time_on_market", "amount")
+    rows = materialize(
+        listings_with_inventory(listings, carry=carried).select(*carried, "inventory", "inventory_time"), "dashboard-rows"
+    )
+    none = F.lit(None)
+    sides = F.array(
+        F.struct(F.lit("listed").alias("side"), F.col("listing_year").alias("year"), F.col("inventory"), F.col("time_on_market").alias("days"), none.cast("decimal(18,2)").alias("amount")),
+        F.struct(F.lit("sold").alias("side"), F.col("sale_year").alias("year"), none.cast("long").alias("inventory"), none.cast("int").alias("days"), F.col("amount").cast("decimal(18,2)").alias("amount")),
+    )
+    happened = (F.col("side") == "listed") | F.col("year").isNotNull()
+    counted = rows.select(F.inline(sides)).filter(happened).groupBy("side", "year").agg(
+        F.count("*").cast("double").alias("n"), F.avg("inventory").alias("inventory"), small_domain_median("days").alias("days"), F.sum("amount").cast("double").alias("amount")
+    )
+
+    def panel(name: str, value: Column) -> Column:
+        return F.struct(F.lit(name).alias("panel"), "year", value.alias("value"))
+
+    listed_panels = F.array(panel("listed", F.col("n")), panel("inventory", F.col("inventory")), panel("time_on_market", F.col("days")))
+    sold_panels = F.array(panel("sold", F.col("n")), panel("market_value", F.col("amount")), panel("turnover", F.col("n") / stock))
+    sums = counted.select(F.inline(F.when(F.col("side") == "listed", listed_panels).otherwise(sold_panels)))
+
+    values = F.array(
+        *[
+            F.struct(F.lit(name).alias("panel"), F.col(year).alias("year"), F.col(value).cast("double").alias("value"))
+            for name, year, value in (
+                ("sale_price", "sale_year", "amount"),
+                ("inventory_time", "listing_year", "inventory_time"),
+            )
+        ]
+    )
+    measured = rows.select(F.inline(values)).filter((F.col("panel") != "sale_price") | F.col("year").isNotNull())
+    medians = exact_quantiles(measured, ["panel", "year"], "value", {"median": 0.5}, calendar_groups=True)
+    first_year = rows.agg(F.min("listing_year").alias("first")).scalar()
+    no_trailing_year = (F.col("panel") == "inventory_time") & (F.col("year") == first_year)
+    return sums.unionByName(
+        medians.select("panel", "year", F.when(no_trailing_year, F.lit(0.0)).otherwise(F.col("median")).alias("value"))
+    )
