@@ -1,7 +1,7 @@
 """Pieces the document operators share.
 
 Null text counts as empty text everywhere in this package. Only the columns an operator names are
-read, so further columns, also ones named like an operator's working columns, do no harm.
+read; stages that return the columns of their input give their own working columns fresh names.
 """
 
 from __future__ import annotations
@@ -21,6 +21,14 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one if ``df`` has a column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def words(column: Column) -> Column:
     """Runs of characters other than ASCII white space."""
     return F.array_remove(F.split(column, SPACE), "")

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from marketspark.llm.common import let, text_of, words
+from marketspark.llm.common import fresh, let, text_of, words
 from marketspark.sources.snapshot import materialize
 
-LEAST_WORDS = 8  # shorter lines never drop for one edit, which would make most of them alike
-ANY_WORDS = 1  # least words of equal lines that drop where equal lines of every length are to go
+LEAST_WORDS = 8  # shorter lines drop only if equal: one edit would make most of them alike
 
 
 def _same_ends(a: str, b: str) -> Column:
@@ -33,7 +32,7 @@ def _key() -> Column:
     return F.unhex(F.md5("plain"))
 
 
-def repeated_lines(docs: DataFrame, equal_from: int = LEAST_WORDS) -> DataFrame:
+def repeated_lines(docs: DataFrame) -> DataFrame:
     """``(key, at, near)`` of each distinct line that stands twice or is near an earlier line.
 
     ``at`` is the earliest place and names the line from then on; ``near`` says whether an earlier
@@ -41,10 +40,10 @@ def repeated_lines(docs: DataFrame, equal_from: int = LEAST_WORDS) -> DataFrame:
     a grouped minimum. One edit between a line of N words and one of N or N - 1 leaves the first
     N div 2 words or the remaining ones as they are, so only distinct lines that share such a part,
     for the same N, go on; for those, each deletion of one word, and the line itself, is a key, and
-    lines with an equal key have their distance verified. Lines of ``equal_from`` to LEAST_WORDS - 1
-    words have no parts: they end at the grouped minimum.
+    lines with an equal key have their distance verified. Lines of fewer than LEAST_WORDS words have
+    no parts: they end at the grouped minimum. Lines without a word are no lines here.
     """
-    lines = lines_of(docs).where((F.col("n") >= equal_from) & F.col("doc_id").isNotNull())
+    lines = lines_of(docs).where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     end = lambda m: F.call_function("substring_index", F.col("plain"), F.lit(" "), m)
     ahead = lambda longer: F.floor(longer / 2).cast("int")
     parts = lambda longer: (F.xxhash64(longer, end(ahead(longer))), F.xxhash64(-longer, end(ahead(longer) - longer)))
@@ -86,58 +85,54 @@ def repeated_lines(docs: DataFrame, equal_from: int = LEAST_WORDS) -> DataFrame:
     return found.where((F.col("times") > 1) | F.col("near")).select("key", "at", "near")
 
 
-def line_decisions(docs: DataFrame, equal_from: int = LEAST_WORDS) -> DataFrame:
+def line_decisions(docs: DataFrame) -> DataFrame:
     """``(doc_id, line_no, n, kept)`` per line: dropped if an earlier line (by document id, then
-    line number) equals it or differs in one word. Equal lines drop from ``equal_from`` words on, one
-    edit counts from LEAST_WORDS words on. The lines of rows without an id stay; they have no place
+    line number) equals it or differs in one word. Equal lines drop whatever
+    their length, one edit counts from LEAST_WORDS words on; lines without a word stay. The lines of rows without an id stay; they have no place
     in that order and stand for no other line."""
-    found = materialize(repeated_lines(docs, equal_from), "line-found")
-    lines = lines_of(docs).select("doc_id", "line_no", "n", F.when((F.col("n") >= equal_from) & F.col("doc_id").isNotNull(), _key()).alias("key"))
+    found = materialize(repeated_lines(docs), "line-found")
+    lines = lines_of(docs).select("doc_id", "line_no", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), _key()).alias("key"))
     joined = lines.join(found.select(F.col("key").alias("k"), "at", "near"), F.col("key") == F.col("k"), "left")
     earliest = (F.col("at.doc_id") == F.col("doc_id")) & (F.col("at.line_no") == F.col("line_no"))
     return joined.select("doc_id", "line_no", "n", (F.col("k").isNull() | (earliest & ~F.col("near"))).alias("kept"))
 
 
-def dedup(docs: DataFrame, equal_from: int = LEAST_WORDS) -> DataFrame:
+def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with dropped lines cut from ``text`` and ``n_chars`` set anew.
 
     A document without dropped lines stays as it is, null and empty ones too. One that loses lines
     and has no word left goes: every line of it stands elsewhere.
     """
+    of, gone, text = (fresh(docs, name) for name in ("cut_id", "cut_lines", "new_text"))
     cut = materialize(
-        line_decisions(docs, equal_from).where(~F.col("kept")).groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("cut_lines")), "line-cuts"
-    ).withColumnRenamed("doc_id", "cut_id")
-    new = F.array_join(F.filter(F.split(text_of(), "\n"), lambda x, i: ~F.array_contains("cut_lines", i)), "\n")
-    joined = docs.join(cut, docs["doc_id"] == cut["cut_id"], "left").withColumn("new_text", F.when(F.col("cut_lines").isNull(), F.col("text")).otherwise(new))
-    left = joined.where(F.col("cut_lines").isNull() | (F.size(words(F.col("new_text"))) > 0))
-    out = [F.col("new_text").alias("text") if c == "text" else F.length("new_text").cast("long").alias("n_chars") if c == "n_chars" else docs[c] for c in docs.columns]
+        line_decisions(docs).where(~F.col("kept")).groupBy(F.col("doc_id").alias(of)).agg(F.array_sort(F.collect_set("line_no")).alias(gone)), "line-cuts"
+    )
+    new = F.array_join(F.filter(F.split(text_of(), "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
+    joined = docs.join(cut, docs["doc_id"] == cut[of], "left").withColumn(text, F.when(F.col(gone).isNull(), F.col("text")).otherwise(new))
+    left = joined.where(F.col(gone).isNull() | (F.size(words(F.col(text))) > 0))
+    out = [F.col(text).alias("text") if c == "text" else F.length(text).cast("long").alias("n_chars") if c == "n_chars" else docs[c] for c in docs.columns]
     return left.select(*out)
 
 
-def query(docs: DataFrame, equal_from: int = LEAST_WORDS) -> DataFrame:
+def query(docs: DataFrame) -> DataFrame:
     """Per document: its lines, how many of them are dropped and kept."""
-    return line_decisions(docs, equal_from).groupBy("doc_id").agg(
+    return line_decisions(docs).groupBy("doc_id").agg(
         F.count("*").alias("n_lines"), F.sum(F.when(F.col("kept"), 0).otherwise(1)).cast("long").alias("n_dropped"), F.sum(F.when(F.col("kept"), F.col("n")).otherwise(0)).cast("long").alias("n_words_kept")
     )
 
 
-def query_any_length(docs: DataFrame) -> DataFrame:
-    """As ``query``, but equal lines of every length of one word or more drop."""
-    return query(docs, ANY_WORDS)
-
-
 SQL = r"""
 with l as (select doc_id, unnest(range(len(s))) as line_no, unnest(s) as line from (select doc_id, string_split(coalesce(text,''), chr(10)) as s from documents)),
 w as (select doc_id, line_no, list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from l),
 k as (select *, len(ws) as n, array_to_string(ws, ' ') as key from w),
-f as (select key, any_value(ws) as ws, any_value(n) as n, min((doc_id, line_no)) as first_at from k where n >= 8 group by key),
-v as (select key, first_at, ws, n, 0 as i, key as var from f union all
-      select key, first_at, ws, n, i, array_to_string(list_concat(ws[1:i - 1], ws[i + 1:]), ' ') from (select *, unnest(range(1, n + 1)) as i from f)),
+f as (select key, any_value(ws) as ws, any_value(n) as n, min((doc_id, line_no)) as first_at from k where n > 0 group by key),
+v as (select key, first_at, ws, n, 0 as i, key as var from f where n >= 8 union all
+      select key, first_at, ws, n, i, array_to_string(list_concat(ws[1:i - 1], ws[i + 1:]), ' ') from (select *, unnest(range(1, n + 1)) as i from f where n >= 8)),
 p as (select distinct a.key, a.ws as wa, b.ws as wb, a.n as na, b.n as nb from v a join v b on a.var = b.var and b.first_at < a.first_at),
 e as (select distinct key from p where list_aggregate(list_transform(range(0, greatest(na, nb) + 1), lambda i: case when
         i <= least(na, nb) and wa[1:i] = wb[1:i] and (wa[i + 2:] = wb[i + 2:] or wa[i + 1:] = wb[i + 2:] or wa[i + 2:] = wb[i + 1:]) then 1 else 0 end), 'max') = 1)
 select k.doc_id, count(*) as n_lines,
-       cast(sum(case when k.n < 8 or (f.first_at = (k.doc_id, k.line_no) and e.key is null) then 0 else 1 end) as bigint) as n_dropped,
-       cast(sum(case when k.n < 8 or (f.first_at = (k.doc_id, k.line_no) and e.key is null) then k.n else 0 end) as bigint) as n_words_kept
+       cast(sum(case when k.n = 0 or (f.first_at = (k.doc_id, k.line_no) and e.key is null) then 0 else 1 end) as bigint) as n_dropped,
+       cast(sum(case when k.n = 0 or (f.first_at = (k.doc_id, k.line_no) and e.key is null) then k.n else 0 end) as bigint) as n_words_kept
 from k left join f on f.key = k.key left join e on e.key = k.key group by k.doc_id
 """

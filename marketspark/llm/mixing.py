@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from marketspark.llm.common import text_of, words
+from marketspark.llm.common import fresh, text_of, words
 from marketspark.sources.snapshot import materialize
 
 WEIGHTS = (3, 1, 2)
@@ -59,11 +59,13 @@ def mixing_plan(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it, and ``copy_no`` from 0."""
+    """``docs`` with each row as often as the mix takes it, and ``copy_no`` from 0, in place of a column of that name."""
     sizes = docs.select("source", F.size(words(text_of())).cast("long").alias("size"))
-    by = materialize(targets(sizes), "mix-targets").select(F.col("source").alias("of_source"), F.col("rate").alias("of_rate"))
-    taken = docs.join(by, docs["source"].eqNullSafe(by["of_source"])).withColumn("of_rate", copies(docs["doc_id"], F.col("of_rate")))
-    return taken.where("of_rate > 0").withColumn("copy_no", F.explode(F.expr("sequence(0L, of_rate - 1)"))).select(*[docs[c] for c in docs.columns if c != "copy_no"], "copy_no")
+    of, rate, number = (fresh(docs, name) for name in ("of_source", "of_rate", "copy"))
+    by = materialize(targets(sizes), "mix-targets").select(F.col("source").alias(of), F.col("rate").alias(rate))
+    taken = docs.join(by, docs["source"].eqNullSafe(by[of])).withColumn(rate, copies(docs["doc_id"], F.col(rate))).where(F.col(rate) > 0)
+    copied = taken.withColumn(number, F.explode(F.sequence(F.lit(0).cast("long"), F.col(rate) - 1)))
+    return copied.select(*[docs[c] for c in docs.columns if c.lower() != "copy_no"], F.col(number).alias("copy_no"))
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from marketspark.llm.common import components
+from marketspark.llm.common import components, fresh
 from marketspark.llm.shingles import bitmap, prefix, shingle_set
 from marketspark.sources.snapshot import materialize
 
@@ -169,8 +169,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     A repeated row stays as often as it is there, and so do rows without an id, as nothing names
     them. What is joined are the ids that go.
     """
-    gone = near_duplicate_classes(docs).where("doc_id is not null").groupBy(F.col("doc_id").alias("gone_id")).agg(F.max("component_id").alias("root")).where("root < gone_id")
-    return docs.join(materialize(gone.select("gone_id"), "near-gone"), docs["doc_id"] == F.col("gone_id"), "left_anti")
+    name = fresh(docs, "gone_id")
+    gone = near_duplicate_classes(docs).where("doc_id is not null").groupBy("doc_id").agg(F.max("component_id").alias("root")).where("root < doc_id")
+    gone = materialize(gone.select(F.col("doc_id").alias(name)), "near-gone")
+    return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")
 
 
 SQL = r"""

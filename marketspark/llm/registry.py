@@ -16,7 +16,6 @@ QUERIES = {
     "op3_html_text": _over(html_text.query, "pages"),
     "op4_warc_revisits": _over(warc.query, "pages"),
     "op5_line_dedup": _over(line_dedup.query, "documents"),
-    "op5_line_dedup_any_length": _over(line_dedup.query_any_length, "documents"),
     "op6_secret_scan": _over(secrets.query, "documents"),
     "op7_ngram_jaccard": _over(near_duplicates.query, "documents"),
     "op7_ngram_links": _over(near_duplicates.linked_classes, "documents"),

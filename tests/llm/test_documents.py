@@ -80,7 +80,7 @@ def test_line_dedup_keeps_earliest(spark, none):
     rows = [(1, f"{line}\nshort line"), (2, line.replace("five", "FIVE")), (3, line + " ten\nnew " + line[::-1]), (4, None), (5, "short line")]
     d = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(d).collect()}
-    assert got == {1: rows[0][1], 3: "new " + line[::-1], 4: None, 5: "short line"}
+    assert got == {1: rows[0][1], 3: "new " + line[::-1], 4: None}
     assert line_dedup.dedup(none).count() == 0
 
 

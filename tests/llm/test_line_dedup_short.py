@@ -33,7 +33,7 @@ def _plain(rows):
 def test_equal_short_lines_drop(spark):
     d = spark.createDataFrame(ROWS, "doc_id long, text string")
     plain = _plain(ROWS)
-    rows = line_dedup.query_any_length(d).where("doc_id is not null").collect()
+    rows = line_dedup.query(d).where("doc_id is not null").collect()
     assert {r["doc_id"]: r["n_lines"] - r["n_dropped"] for r in rows} == {i: len(x) for i, x in plain.items()}
     got = {r["doc_id"] or 0: r["text"] for r in corpus_pipeline.drop_repeated_lines(spark, d, "").collect()}
     assert got == {0: "short line\nHome", 4: None, 6: "\n\nown"} | {i: "\n".join(x) for i, x in plain.items() if any(y.split() for y in x) and i not in (4, 6)}
