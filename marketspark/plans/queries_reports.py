@@ -387,6 +387,36 @@ def agg_violin_stats(m):
     )
 
 
+@query(
+    "agg_violin_time",
+    f"""select vg.listing_year, vg.category, grid_no, {sql_rounded('grid', 3)} as grid,
+        {sql_rounded('1e3 * (a.height + (b.height - a.height) * (pos - floor(pos)))', 6)} as density_per_thousand
+        from vg join vc a on a.listing_year = vg.listing_year and a.category = vg.category and a.knot = floor(pos)
+        join vc b on b.listing_year = vg.listing_year and b.category = vg.category and b.knot = floor(pos) + 1""",
+    VIOLIN_SQL.replace("sale_year", "listing_year").replace("amount", "time_on_market"),
+)
+def agg_violin_time(m):
+    """Density of the time on market of sold listings by listing year and category."""
+    curve = distribution.density(m.sold, ["listing_year", "category"], "time_on_market", points=GRID)
+    return curve.select(
+        "listing_year", "category", "grid_no", rounded("grid", 3).alias("grid"),
+        rounded(F.col("density") * 1e3).alias("density_per_thousand"),
+    )
+
+
+@query(
+    "agg_violin_time_quantiles",
+    f"""select listing_year, category, {sql_rounded("quantile_cont(a, 0.25)")} as q1,
+        {sql_rounded("quantile_cont(a, 0.5)")} as median, {sql_rounded("quantile_cont(a, 0.75)")} as q3
+        from (select *, cast(time_on_market as double) as a from e) where status = 'Sold' group by 1, 2""",
+)
+def agg_violin_time_quantiles(m):
+    quantiles = exact_quantiles(
+        m.sold, ["listing_year", "category"], "time_on_market", {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    )
+    return quantiles.select("listing_year", "category", *[rounded(c).alias(c) for c in ("q1", "median", "q3")])
+
+
 BOX_SINCE = date(1998, 1, 1)
 BOX_SQL = f"""
 bx as (select * from e where sale_date is not null and listing_date > date '{BOX_SINCE}'),
