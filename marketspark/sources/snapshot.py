@@ -6,12 +6,16 @@ executor can reach, so a lost executor costs a re-read and not a re-run of the u
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
+_steps = threading.local()  # paths materialized inside each running ``written``
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,4 +62,34 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     spark = df.sparkSession
     path = scratch_path(spark, name)
     write_snapshot(df, path, partition_by)
+    for paths in getattr(_steps, "open", [])[-1:]:
+        paths.append(path)
     return read_snapshot(spark, path)
+
+
+def written(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``materialize`` what ``build`` returns and delete the tables it materialized on the way.
+
+    Only the result may be used afterwards. Shuffle files of finished jobs go when the driver has
+    collected what refers to them, so a collection is asked for here.
+    """
+    if not hasattr(_steps, "open"):
+        _steps.open = []
+    _steps.open.append([])
+    try:
+        last = materialize(build(), name)
+    finally:
+        paths = _steps.open.pop()
+    for path in paths[:-1]:
+        _delete(spark, path)
+    for outer in _steps.open[-1:]:
+        outer.append(paths[-1])
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+    return last
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
