@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from marketspark.llm.common import let, lower_ascii, text_of
-from marketspark.sources.snapshot import materialize
+from marketspark.sources.snapshot import materialize, written
 
 WINDOW = 13
 GRAM = 5
@@ -122,7 +122,8 @@ def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the contaminated rows, null texts included in what stays."""
-    bad = materialize(contaminated_words(docs, benchmark).where(is_contaminated()).select("row").distinct(), "bench-bad")
+    found = lambda: contaminated_words(docs, benchmark).where(is_contaminated()).select("row").distinct()
+    bad = written(docs.sparkSession, found, "bench-bad")
     return docs.join(bad, F.md5(text_of()) == bad["row"], "left_anti")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from marketspark.llm.common import fresh, let, text_of, words
-from marketspark.sources.snapshot import materialize
+from marketspark.sources.snapshot import materialize, written
 
 LEAST_WORDS = 8  # shorter lines drop only if equal: one edit would make most of them alike
 
@@ -104,9 +104,12 @@ def dedup(docs: DataFrame) -> DataFrame:
     and has no word left goes: every line of it stands elsewhere.
     """
     of, gone, text = (fresh(docs, name) for name in ("cut_id", "cut_lines", "new_text"))
-    cut = materialize(
-        line_decisions(docs).where(~F.col("kept")).groupBy(F.col("doc_id").alias(of)).agg(F.array_sort(F.collect_set("line_no")).alias(gone)), "line-cuts"
-    )
+
+    def cuts() -> DataFrame:
+        dropped = line_decisions(docs).where(~F.col("kept"))
+        return dropped.groupBy(F.col("doc_id").alias(of)).agg(F.array_sort(F.collect_set("line_no")).alias(gone))
+
+    cut = written(docs.sparkSession, cuts, "line-cuts")
     new = F.array_join(F.filter(F.split(text_of(), "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
     joined = docs.join(cut, docs["doc_id"] == cut[of], "left").withColumn(text, F.when(F.col(gone).isNull(), F.col("text")).otherwise(new))
     left = joined.where(F.col(gone).isNull() | (F.size(words(F.col(text))) > 0))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from marketspark.llm.common import components, fresh
 from marketspark.llm.shingles import bitmap, low_end, shingle_set
-from marketspark.sources.snapshot import materialize
+from marketspark.sources.snapshot import materialize, written
 
 PERCENT = 80
 
@@ -243,8 +243,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     them. What is joined are the ids that go.
     """
     name = fresh(docs, "gone_id")
-    gone = near_duplicate_classes(docs).where("doc_id is not null").groupBy("doc_id").agg(F.max("component_id").alias("root")).where("root < doc_id")
-    gone = materialize(gone.select(F.col("doc_id").alias(name)), "near-gone")
+
+    def named_by_others() -> DataFrame:
+        classes = near_duplicate_classes(docs).where("doc_id is not null")
+        return classes.groupBy("doc_id").agg(F.max("component_id").alias("root")).where("root < doc_id").select(F.col("doc_id").alias(name))
+
+    gone = written(docs.sparkSession, named_by_others, "near-gone")
     return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")
 
 

@@ -34,7 +34,7 @@ def fit(texts: list[str | None], labels: list[int]) -> tuple[np.ndarray, float]:
     weights = np.zeros(BUCKETS)
     if not len(y) or y.min() == y.max():
         return weights, 3.0 if len(y) and y[0] else -3.0
-    rows = [features(t) for t in texts]
+    rows = [features(t).astype(np.int32) for t in texts]
     count = np.zeros((2, BUCKETS))
     for r, label in zip(rows, labels):
         count[int(label), r] += 1
@@ -44,10 +44,13 @@ def fit(texts: list[str | None], labels: list[int]) -> tuple[np.ndarray, float]:
     share = count.sum(0) / len(y)
     gap = np.abs(count[1] / y.sum() - count[0] / (1 - y).sum()) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / y.sum() + 1 / (1 - y).sum()))
     use = np.flatnonzero((count.sum(0) >= SEEN) & (gap > 5))
-    place = np.full(BUCKETS, -1)
+    place = np.full(BUCKETS, -1, np.int32)
     place[use] = np.arange(len(use))
-    cols = [place[r] for r in rows]
-    cols = [c[c >= 0] for c in cols]
+    cols = []
+    for k, r in enumerate(rows):
+        c = place[r]
+        cols.append(c[c >= 0])
+        rows[k] = None
     at, flat = np.repeat(np.arange(len(cols)), [len(c) for c in cols]), np.concatenate(cols)
     x = ratio[use][flat]
     w, b, v, g2, gb = np.zeros(len(use)), 0.0, 0.0, np.full(len(use), 1e-8), 1e-8
