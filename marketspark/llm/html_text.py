@@ -8,7 +8,7 @@ from html import unescape
 from urllib.parse import urlsplit
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from marketspark.llm.common import let
 from marketspark.sources.snapshot import materialize
@@ -163,65 +163,108 @@ def _parsed(pages: DataFrame) -> DataFrame:
             rows = []
             for i, u, h in zip(batch["page_id"], batch["url"], batch["html"]):
                 found = blocks_of(h)
-                sure = [t for inside, t in found if inside]
+                sure = any(inside for inside, _ in found)
                 try:
                     host = urlsplit(u or "").netloc.lower()
                 except ValueError:
                     host = ""
-                rows.append((i, u, host, "\n".join(sure), [] if sure else [t for _, t in found]))
-            out = pd.DataFrame(rows, columns=["page_id", "url", "host", "text", "loose"])
+                rows.append((i, u, host, sure, [t for inside, t in found if inside == sure]))
+            out = pd.DataFrame(rows, columns=["page_id", "url", "host", "sure", "blocks"])
             out["page_id"] = out["page_id"].astype("Int64")
             yield out
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, host string, text string, loose array<string>")
+    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, host string, sure boolean, blocks array<string>")
+
+
+def _beginnings() -> Column:
+    """The suffixes of a page that begin with a block, by their first RUN words."""
+    ahead = lambda text: F.call_function("substring_index", text, F.lit(" "), F.lit(RUN))
+    short = lambda texts: F.transform(texts, lambda t, b: ahead(F.array_join(F.slice(texts, b + 1, RUN), " ")))
+    whole = F.filter(let(F.transform("blocks", ahead), short), lambda t: F.size(F.split(t, " ")) == RUN)
+    return F.array_distinct(F.transform(whole, lambda t: F.xxhash64(t)))
+
+
+def _furniture(runs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``(host, sure, suffix)`` of ``runs``, a row per page and suffix, that stand on enough of the host's pages."""
+    often = runs.groupBy("host", "sure", "suffix").agg(F.count("*").alias("times")).where("times > 1").join(sizes, ["host", "sure"])
+    most = (F.col("times") > 2) & (2 * F.col("times") > F.col("pages"))
+    return often.where(F.when(F.col("sure"), most).otherwise(100 * F.col("times") >= SHARE * F.col("pages"))).select("host", "sure", "suffix")
+
+
+def _led(found: DataFrame) -> DataFrame:
+    """``found`` without the suffixes of articles that do not follow, one by one, on one that begins with a block."""
+    page = Window.partitionBy("page_key")
+    chain = found.where("sure").withColumn("chain", F.col("i") - F.row_number().over(page.orderBy("i")))
+    led = F.max("begins").over(Window.partitionBy("page_key", "chain").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    return chain.withColumn("led", led).where("led").drop("chain", "led").unionByName(found.where("not sure"))
 
 
 def _without(tokens: DataFrame, cut: DataFrame) -> DataFrame:
-    """``(page_key, loose_text)``: the words of ``tokens`` that no run starting at ``cut`` covers, a line per block."""
+    """``(page_key, sure, loose_text, gone)``: the words of ``tokens`` that no run starting at ``cut`` covers, a line
+    per block, and how many words that leaves out. An article loses whole blocks only."""
     starts = cut.groupBy("page_key").agg(F.collect_set("i").alias("starts"))
     covered = F.flatten(F.transform(F.coalesce("starts", F.array().cast("array<int>")), lambda s: F.sequence(s, s + RUN - 1)))
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("ws") - 1), covered), lambda i: F.get("ws", i))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("ws") - 1), covered)
+    starts_of = F.filter(F.sequence(F.lit(0), F.size("ws") - 1), lambda i: F.get("ws", i)["begins"])
+    stay = lambda places: F.array_distinct(F.transform(places, lambda i: F.get("ws", i)["block"]))
+    places_of = lambda b, first: F.sequence(F.get(first, b), F.coalesce(F.get(first, b + 1), F.size("ws")) - 1)
+    whole = let(starts_of, lambda first: F.flatten(F.transform(stay(kept), lambda b: places_of(b, first))))
+    left = F.transform(F.when(F.col("sure"), whole).otherwise(kept), lambda i: F.get("ws", i))
     ahead = lambda x, before: F.when(before.isNull(), "").when(before["block"] < x["block"], "\n").otherwise(" ")
-    text = let(left, lambda ws: F.array_join(F.transform(ws, lambda x, i: F.concat(ahead(x, F.get(ws, i - 1)), x["w"])), ""))
-    return tokens.join(starts, "page_key", "left").select("page_key", text.alias("loose_text"))
+    text = lambda ws: F.array_join(F.transform(ws, lambda x, i: F.concat(ahead(x, F.get(ws, i - 1)), x["w"])), "")
+    out = let(left, lambda ws: F.struct(text(ws).alias("loose_text"), (F.size("ws") - F.size(ws)).alias("gone")))
+    return tokens.join(starts, "page_key", "left").select("page_key", "sure", F.size("ws").alias("n"), out.alias("out")).select("page_key", "sure", "n", "out.*")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """``(page_id, url, text)`` per row of ``pages``; null and empty pages have an empty text.
 
-    Blocks inside an article are its text: copies of one article on a host are still articles, so
-    nothing repeated is cut there. Pages without an article have loose blocks. The suffixes of a
-    page's words, all its blocks in a row, are keyed by their first RUN words, as in a suffix array
-    cut to that depth: the union of such windows is the union of all longer repeated substrings, also
-    of those that cross blocks. Equal contents of a host are one page. A run is furniture, and the
-    words it covers go, if it stands on SHARE percent of the host's pages, two at least, counted by
-    the different texts that are left of them without such runs: copies of an article leave nothing
-    or the same. Pages without a host are not cut. Suffixes are counted before they are shuffled, so
-    a host or a run of any size never meets in one task. Other runs of a block stay, in page order.
+    The blocks of a page are those inside its article or, without one, its loose blocks; the two
+    kinds of pages of a host are compared each among themselves. The suffixes of a page's words, all
+    its blocks in a row, are keyed by their first RUN words, as in a suffix array cut to that depth:
+    the union of such windows is the union of all longer repeated substrings, also of those that
+    cross blocks. Equal contents of a host are one page. A run is furniture, and the words it covers
+    go, if it stands on SHARE percent of the host's pages, two at least, counted by the different
+    texts that are left of them without such runs: copies of an article leave nothing or the same.
+
+    In articles a run also begins with a block, stands on more than half of the host's article
+    pages, three at least, and only blocks that runs cover whole go. A page of which runs would take
+    half of the words or more is a copy: it stays whole and does not count. So quoted passages and
+    copies of one article stay. Suffixes that begin with a block are counted first, and only pages
+    that have one on enough pages send the rest of theirs.
+
+    Pages without a host are not cut. Suffixes are counted before they are shuffled, so a host or a
+    run of any size never meets in one task. Other runs of a block stay, in page order.
     """
-    parsed = materialize(_parsed(pages).withColumn("page_key", F.md5(F.concat_ws("\n", "host", "loose"))), "html-parsed")
-    loose = parsed.where((F.size("loose") > 0) & (F.col("host") != "")).select("page_key", "host", "loose").dropDuplicates(["page_key"])
-    split = F.transform("loose", lambda t, b: F.transform(F.split(t, " "), lambda w: F.struct(w.alias("w"), b.alias("block"))))
-    tokens = materialize(loose.select("page_key", "host", F.flatten(split).alias("ws")), "html-tokens")
-    keys = let(F.col("ws.w"), lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - RUN), lambda i: F.xxhash64(F.slice(w, i + 1, RUN))))
-    long_ = tokens.where(F.size("ws") >= RUN)
-    suffixes = long_.select("page_key", "host", F.posexplode(keys).alias("i", "suffix"))
-    sizes = materialize(tokens.groupBy("host").agg(F.count("*").alias("pages")), "html-hosts")
-
-    def furniture(runs: DataFrame) -> DataFrame:
-        often = runs.groupBy("host", "suffix").agg(F.count("*").alias("times")).where("times > 1").join(sizes, "host")
-        return often.where(100 * F.col("times") >= SHARE * F.col("pages")).select("host", "suffix")
-
-    wide = materialize(furniture(long_.select("host", F.explode(F.array_distinct(keys)).alias("suffix"))), "html-wide")
-    found = materialize(suffixes.join(wide, ["host", "suffix"]), "html-found")
-    rest = _without(tokens, found.select("page_key", "i")).where("loose_text <> ''").select("page_key", F.md5("loose_text").alias("rest"))
-    differing = found.join(materialize(rest, "html-rest"), "page_key").select("host", "suffix", "rest").distinct()
-    cut = found.join(materialize(furniture(differing), "html-furniture"), ["host", "suffix"]).select("page_key", "i")
-    texts = materialize(_without(tokens, cut), "html-texts")
-    done = parsed.where(F.size("loose") == 0).select("page_id", "url", "text")
-    return done.union(
-        parsed.where(F.size("loose") > 0).join(texts, "page_key", "left").select("page_id", "url", F.coalesce("loose_text", F.array_join("loose", "\n")))
-    )
+    key = F.md5(F.concat_ws("\n", "host", F.col("sure").cast("string"), "blocks"))
+    parsed = materialize(_parsed(pages).withColumn("page_key", key), "html-parsed")
+    known = parsed.where((F.size("blocks") > 0) & (F.col("host") != ""))
+    begun = materialize(known.where("sure").select("page_key", "host", "sure", _beginnings().alias("begun")).dropDuplicates(["page_key"]), "html-begun")
+    loose = known.where("not sure").select("page_key", "host", "sure", "blocks").dropDuplicates(["page_key"])
+    count = lambda streams: streams.groupBy("host", "sure").agg(F.count("*").alias("pages"))
+    sizes = materialize(count(begun), "html-sites")
+    begins = begun.select("page_key", "host", "sure", F.explode("begun").alias("suffix"))
+    common = materialize(_furniture(begins, sizes), "html-common")
+    articles = materialize(begins.join(common, ["host", "sure", "suffix"]).select("page_key").distinct(), "html-articles")
+    articles = known.where("sure").select("page_key", "host", "sure", "blocks").join(articles, "page_key").dropDuplicates(["page_key"])
+
+    split = F.transform("blocks", lambda t, b: F.transform(F.split(t, " "), lambda w, i: F.struct(w.alias("w"), b.alias("block"), (i == 0).alias("begins"))))
+    tokens = materialize(loose.union(articles).select("page_key", "host", "sure", F.flatten(split).alias("ws")), "html-tokens")
+    sizes = materialize(sizes.union(count(tokens.where("not sure"))), "html-hosts")
+    at = lambda w, i: F.struct(F.get(w["begins"], i).alias("begins"), F.xxhash64(F.slice(w["w"], i + 1, RUN)).alias("suffix"))
+    keys = let(F.col("ws"), lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - RUN), lambda i: at(w, i)))
+    suffixes = tokens.where(F.size("ws") >= RUN).select("page_key", "host", "sure", F.posexplode(keys).alias("i", "at")).select("page_key", "host", "sure", "i", "at.*")
+    each = tokens.where(F.size("ws") >= RUN).select("host", "sure", F.explode(F.array_distinct(keys["suffix"])).alias("suffix"))
+    wide = materialize(_furniture(each, sizes), "html-wide")
+    found = _led(materialize(suffixes.join(wide, ["host", "sure", "suffix"]), "html-found"))
+    rest = materialize(_without(tokens, found).where("loose_text <> '' and gone > 0 and (not sure or 2 * gone < n)").select("page_key", F.md5("loose_text").alias("rest")), "html-rest")
+    counted = found.join(rest, "page_key")
+    cut = _furniture(counted.select("host", "sure", "suffix", "rest").distinct(), sizes)
+    cut = materialize(cut, "html-furniture")
+    own = found.where("not sure").unionByName(counted.where("sure").drop("rest"))
+    cut = _led(own.join(cut, ["host", "sure", "suffix"])).select("page_key", "i")
+    texts = materialize(_without(tokens, cut).where("gone > 0").select("page_key", "loose_text"), "html-texts")
+    return parsed.join(texts, "page_key", "left").select("page_id", "url", F.coalesce("loose_text", F.array_join("blocks", "\n")).alias("text"))
 
 
 def query(pages: DataFrame) -> DataFrame:

@@ -52,3 +52,25 @@ def test_copies_and_quotes_are_no_furniture(spark):
         1: body, 2: body, 3: body, 4: f"{body}\non sale", 5: f"{body}\nown 5", 6: f"{body}\nown 6",
         **{10 + k: f"p{k} page" + f"\n{quote}" * (k < 2) for k in range(7)},
     }
+
+
+def test_notices_in_articles_go_by_their_suffixes(spark):
+    notice = "<p>Read more of this on our own site every day</p><p>Sign up now</p>"
+    quote = "to be or not to be that is the question"
+    words = lambda k, n: " ".join(f"w{k}x{j}" for j in range(n))
+    page = lambda k, more: f"<nav>menu</nav><article><h1>Title {k}</h1><p>{words(k, 30)} {quote}</p>{more}<p>{words(k, 5)} {quote} end</p></article>"
+    text = lambda k, more: f"Title {k}\n{words(k, 30)} {quote}\n{more}{words(k, 5)} {quote} end"
+    rows = [(k, f"http://a/{k}", page(k, notice if k < 4 else "")) for k in range(5)]
+    rows += [(5, "http://a/5", page(0, notice))]  # equal contents are one page
+    rows += [(10 + k, f"http://two/{k}", page(k, notice)) for k in range(2)]  # too few pages
+    rows += [(20 + k, f"http://some/{k}", page(k, notice if k < 3 else "")) for k in range(6)]  # no more than half
+    body = f"<p>{words(9, 60)}</p>"
+    rows += [(30 + k, f"http://copies/{k}", f"<article><p>copy {k}</p>{body}</article>") for k in range(4)]
+    rows += [(40 + k, None, page(k, notice)) for k in range(4)]
+    got = texts(spark, rows)
+    shown = "Read more of this on our own site every day\nSign up now\n"
+    assert [got[k] for k in range(6)] == [text(k % 5, "") for k in range(6)]
+    assert [got[10 + k] for k in range(2)] == [text(k, shown) for k in range(2)]
+    assert [got[20 + k] for k in range(6)] == [text(k, shown if k < 3 else "") for k in range(6)]
+    assert [got[30 + k] for k in range(4)] == [f"copy {k}\n{words(9, 60)}" for k in range(4)]
+    assert [got[40 + k] for k in range(4)] == [text(k, shown) for k in range(4)]
