@@ -38,3 +38,17 @@ def test_equal_short_lines_drop(spark):
     got = {r["doc_id"] or 0: r["text"] for r in corpus_pipeline.drop_repeated_lines(spark, d, "").collect()}
     assert got == {0: "short line\nHome", 4: None, 6: "\n\nown"} | {i: "\n".join(x) for i, x in plain.items() if any(y.split() for y in x) and i not in (4, 6)}
     assert got[1] == ROWS[0][1] and got[2] == "Short line" and 5 not in got
+
+
+def test_few_lines_reach_the_joins(spark, monkeypatch):
+    own = lambda k: " ".join(f"w{k}x{j}" for j in range(12))
+    rows = [(k, f"{own(k)}\nshort {k}") for k in range(1, 3001)] + [(5000 + k, own(k).replace(f"w{k}x7", "other")) for k in range(1, 21)]
+    tables = {}
+    keep = line_dedup.materialize
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, name, *more: tables.setdefault(name, keep(df, name, *more)))
+    monkeypatch.setattr(line_dedup, "MOST_BITS", 1 << 13)  # a full bitmap lets more pass and loses nothing
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in line_dedup.query(d).where("n_dropped > 0").collect()} == {5000 + k for k in range(1, 21)}
+    assert tables["line-members"].count() < 100  # of 520 keys of 40 lines
+    passed = line_dedup._likely(d, line_dedup.F.col("doc_id"), spark.createDataFrame([(7,), (None,), (-1,)], "mark long"), "bits")
+    assert 7 in {r["doc_id"] for r in passed.collect()} and passed.count() < 300 and passed.columns == d.columns
