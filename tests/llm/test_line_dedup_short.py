@@ -52,3 +52,31 @@ def test_few_lines_reach_the_joins(spark, monkeypatch):
     assert tables["line-members"].count() < 100  # of 520 keys of 40 lines
     passed = line_dedup._likely(d, line_dedup.F.col("doc_id"), spark.createDataFrame([(7,), (None,), (-1,)], "mark long"), "bits")
     assert 7 in {r["doc_id"] for r in passed.collect()} and passed.count() < 300 and passed.columns == d.columns
+
+
+def test_whole_texts_pass_no_join_with_cuts(spark):
+    rows = [(k, f"text {k} of its own\nsecond {k}") for k in range(1, 2001)] + [(5000 + k, f"text {k} of its own\nthird {k}") for k in range(1, 21)] + [(None, "text 1 of its own"), (7000, None), (7001, "text 2 of its own")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    rest = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = line_dedup.dedup(d)
+        got = {(r["doc_id"], r["text"]) for r in plan.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", rest)
+    assert got == {(i, t) if i is None or t is None or i < 5000 else (i, t.split("\n")[1]) for i, t in rows if i != 7001}
+    sent = [n for columns, n in _exchanges(plan._jdf.queryExecution().executedPlan()) if "text" in columns]
+    assert sent and max(sent) < 200  # of 2023 texts
+
+
+def _exchanges(node):
+    """``(columns, rows written)`` of each shuffle that has run under ``node``."""
+    name, out = node.nodeName(), []
+    if name == "AdaptiveSparkPlan":
+        return _exchanges(node.executedPlan())
+    if name.endswith("QueryStage"):
+        return _exchanges(node.plan())
+    if name == "Exchange":
+        out.append((node.output().mkString(","), node.metrics().apply("shuffleRecordsWritten").value()))
+    children = node.children()
+    return out + [x for i in range(children.size()) for x in _exchanges(children.apply(i))]
