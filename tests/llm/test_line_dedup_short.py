@@ -1,5 +1,7 @@
 """Equal lines of every length, against a plain Python version."""
 
+import re
+
 import corpus_pipeline
 from marketspark.llm import line_dedup
 
@@ -54,6 +56,31 @@ def test_few_lines_reach_the_joins(spark, monkeypatch):
     assert 7 in {r["doc_id"] for r in passed.collect()} and passed.count() < 300 and passed.columns == d.columns
 
 
+def _tables(monkeypatch):
+    tables = {}
+    keep = line_dedup.materialize
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, name, *more: tables.setdefault(name, (df, keep(df, name, *more)))[1])
+    return tables
+
+
+def test_words_of_odd_white_space(spark):
+    lines = ["a b", " a b", "a b ", "a  b", "a\tb", "\ta b", "a\x0bb\x0c", "a b\r", "", " ", "\t\r", "a", "a\xa0b c", "a b  é", "\U0001f600 x"]
+    rows = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
+    ws = [[w for w in re.split(r"[\x20\x09-\x0D]+", x) if w] for x in lines]
+    assert [(r["plain"], r["n"]) for r in line_dedup.lines_of(rows).orderBy("line_no").collect()] == [(" ".join(w), len(w)) for w in ws]
+
+
+def test_only_lines_that_went_on_are_taken_apart(spark, monkeypatch):
+    own = lambda k: " ".join(f"w{k}x{j}" for j in range(12))
+    rows = [(k, own(k)) for k in range(1, 101)] + [(5000 + k, own(k).replace(f"w{k}x7", "other ")) for k in range(1, 11)]
+    tables = _tables(monkeypatch)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in line_dedup.query(d).where("n_dropped > 0").collect()} == {5000 + k for k in range(1, 11)}
+    plan = tables["line-texts"][0]._jdf.queryExecution().optimizedPlan().toString()
+    filters = [x for x in plan.split("Join", 1)[1].splitlines() if "Filter" in x]
+    assert not any(rx in x for x in filters for rx in ("split(", "regexp"))
+
+
 def test_whole_texts_pass_no_join_with_cuts(spark):
     rows = [(k, f"text {k} of its own\nsecond {k}") for k in range(1, 2001)] + [(5000 + k, f"text {k} of its own\nthird {k}") for k in range(1, 21)] + [(None, "text 1 of its own"), (7000, None), (7001, "text 2 of its own")]
     d = spark.createDataFrame(rows, "doc_id long, text string")
